@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical_ledger, credentials, encoding_repair, handwritten, leakage, licenses, packing, reading_level, tokenizer
+from . import canonical_ledger, credentials, encoding_repair, handwritten, leakage, licenses, packing, reading_level, syntax, tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.garbled_files(_table(spark, sf_dir, "extract_files"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` of files that are not valid in their language."""
+    return syntax.invalid_files(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, invalid files and their rate for each repository and language."""
+    return syntax.fault_rates(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, ids`` of each document."""
     return tokenizer.encode(_table(spark, sf_dir, "documents"))
@@ -73,7 +83,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_spans, p3_found, p3_survivors, p4_found, p5_found, p6_found, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p2_found, p2_spans, p3_found, p3_survivors, p4_found, p5_found, p6_found, p7_found, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 
