@@ -8,7 +8,6 @@ and SQL calibrates the levels: each level gets mean and variance of each
 measure, a text the level of the largest likelihood.
 
 Code blocks, inline code, links, headings and markup are left out of the words.
-Everything is DataFrame operations; no Python runs on the rows.
 
 Defined results: null texts, texts under ``least_words`` white-space separated
 words and texts in other languages are no cases.  A text that has that many
@@ -18,9 +17,14 @@ Ranks of equally frequent words are equal.  Repeated texts get equal levels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 #: Sources that hold prose, and English as ``lang`` spells it.
 PROSE_SOURCES = ("readme", "tutorial", "guide", "issue", "review")
@@ -33,33 +37,66 @@ MEASURES = ("cover_0", "cover_1", "cover_2", "sentence", "letters")
 FLOOR = 0.05
 
 
-def prose(text: Column) -> Column:
-    """The text without code, links, headings and markup."""
-    t = F.regexp_replace(text, r"(?s)(```|~~~).*?(\1|$)", "\n\n")
-    t = F.regexp_replace(t, r"(?m)^(?: {4}|\t)[^\n]*$", "")
-    t = F.regexp_replace(t, r"(?m)^\s{0,3}#{1,6}[^\n]*$", "")
-    t = F.regexp_replace(t, r"(?s)<[^<>]{1,200}>", " ")
-    t = F.regexp_replace(t, r"\bhttps?://\S+", " ")
-    t = F.regexp_replace(t, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
-    return F.regexp_replace(t, r"`[^`\n]*`", " ")
-
+_FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
+_CODE_LINE = re.compile(r"^(?: {4}|\t)[^\n]*$", re.M)
+_HEADING = re.compile(r"^\s{0,3}#{1,6}[^\n]*$", re.M)
+_TAG = re.compile(r"<[^<>]{1,200}>")
+_URL = re.compile(r"\bhttps?://\S+")
+_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
+_INLINE = re.compile(r"`[^`\n]*`")
+_WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n")
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), 1)
 
+def prose(text: str) -> str:
+    """The text without code, links, headings and markup."""
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
+    text = _HEADING.sub("", _CODE_LINE.sub("", text))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    text = _URL.sub(" ", text)
+    if "](" in text:
+        text = _LINK.sub(r"\1", text)
+    return _INLINE.sub(" ", text)
+
+
+def counted(text: str) -> tuple[Counter, float, float]:
+    """Counts of a text's words, and the logarithms of words a sentence and letters a word."""
+    body = prose(text)
+    words = _WORD.findall(body.lower())
+    if len(words) < 5:
+        body, words = text, _WORD.findall(text.lower())
+    sentences = sum(1 for s in _SENTENCE.split(body) if _WORD.search(s))
+    n = max(1, len(words))
+    return Counter(words), math.log(n / max(1, sentences)), math.log(max(1, sum(map(len, words))) / n)
+
+
+def word_counts(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``kind, id, sentence, letters, word, n`` of ``texts(kind, id, text)``: one row for each different word of a text, so that no text and no repeated word is shuffled.
+
+    Texts under ``least_words`` white-space separated words are left out, but for graded samples (kind 1).
+    """
 
-def _measured_parts(texts: DataFrame) -> DataFrame:
-    """``key, words, sentence, letters`` of ``texts(key, text)``."""
-    body = texts.select("key", "text", prose(F.col("text")).alias("p"))
-    chosen = body.select("key", F.when(F.size(_words(F.col("p"))) >= 5, F.col("p")).otherwise(F.col("text")).alias("p"))
-    parts = chosen.select(
-        "key",
-        _words(F.col("p")).alias("words"),
-        F.size(F.filter(F.split(F.col("p"), r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n"), lambda s: s.rlike(r"\p{L}"))).alias("sentences"),
-    )
-    n = F.size("words")
-    letters = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w))
-    return parts.where(n > 0).select("key", "words", F.log(n / F.greatest("sentences", F.lit(1))).alias("sentence"), F.log(letters / n).alias("letters"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in range(0, len(pdf), 256):
+                part = pdf.iloc[s : s + 256]
+                kinds, ids, sentences, letters, words, ns = [], [], [], [], [], []
+                for kind, i, text in zip(part["kind"], part["id"], part["text"]):
+                    if not kind and len(text.split()) < least_words:
+                        continue
+                    counts, a, b = counted(text)
+                    m = len(counts)
+                    kinds += [kind] * m
+                    ids += [i] * m
+                    sentences += [a] * m
+                    letters += [b] * m
+                    words += counts.keys()
+                    ns += counts.values()
+                yield pd.DataFrame({"kind": kinds, "id": ids, "sentence": sentences, "letters": letters, "word": pd.Series(words, dtype="object"), "n": ns})
+
+    return texts.select("kind", "id", "text").mapInPandas(run, "kind int, id bigint, sentence double, letters double, word string, n bigint")
 
 
 def word_ranks(counts: DataFrame) -> DataFrame:
@@ -74,14 +111,17 @@ def word_ranks(counts: DataFrame) -> DataFrame:
     return totals.join(histogram.select("n", (before + 1).alias("rank")), "n").select("word", "rank")
 
 
-def measures(texts: DataFrame) -> DataFrame:
-    """The five measures of each text of ``texts(key, text)``; ranks are over all of them."""
-    parts = _measured_parts(texts)
-    # a text's words are counted within its row, so that nothing but distinct words is shuffled
-    words = parts.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+def measures(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``kind, id`` and the five measures of each text of ``texts(kind, id, text)``; ranks are over all of them.
+
+    A word that is in most texts is a hot key of the join with the ranks.  Spark
+    broadcasts the ranks where it measures them to be small; else adaptive
+    execution splits the hot partitions.
+    """
+    words = word_counts(texts, least_words)
     ranked = words.join(word_ranks(words), "word")
-    cover = ranked.groupBy("key").agg(F.percentile(F.col("rank").cast("double"), F.array(*map(F.lit, SHARES)), F.col("n")).alias("c"))
-    return parts.drop("words").join(cover, "key").select("key", *[F.log1p(F.col("c")[i]).alias(f"cover_{i}") for i in range(len(SHARES))], "sentence", "letters")
+    cover = ranked.groupBy("kind", "id", "sentence", "letters").agg(F.percentile(F.col("rank").cast("double"), F.array(*map(F.lit, SHARES)), F.col("n")).alias("c"))
+    return cover.select("kind", "id", *[F.log1p(F.col("c")[i]).alias(f"cover_{i}") for i in range(len(SHARES))], "sentence", "letters")
 
 
 def calibrate(graded: DataFrame) -> DataFrame:
@@ -91,7 +131,7 @@ def calibrate(graded: DataFrame) -> DataFrame:
 
 
 def assign(measured: DataFrame, levels: DataFrame) -> DataFrame:
-    """``key, level``: the level of the largest likelihood; of equals the first by name.
+    """``id, level``: the level of the largest likelihood; of equals the first by name.
 
     ``levels`` has one row a level: a fixed, small number of rows, so it is broadcast.
     """
@@ -99,18 +139,15 @@ def assign(measured: DataFrame, levels: DataFrame) -> DataFrame:
     for m in MEASURES:
         dev = F.greatest(F.col(f"dev_{m}"), F.lit(FLOOR))
         miss = miss + F.pow((F.col(m) - F.col(f"mean_{m}")) / dev, 2) + 2 * F.log(dev)
-    pairs = measured.join(F.broadcast(levels), F.lit(True)).select("key", F.struct(miss.alias("miss"), "level").alias("s"))
-    return pairs.groupBy("key").agg(F.min("s")["level"].alias("level"))
+    pairs = measured.join(F.broadcast(levels), F.lit(True)).select("id", F.struct(miss.alias("miss"), "level").alias("s"))
+    return pairs.groupBy("id").agg(F.min("s")["level"].alias("level"))
 
 
 def reading_levels(documents: DataFrame, references: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, level`` of the English prose in ``documents(doc_id, text, lang, source)``."""
-    cases = documents.where(
-        F.col("source").isin(*PROSE_SOURCES) & F.lower("lang").rlike(ENGLISH) & (F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)) >= least_words)
-    )
-    texts = cases.select(F.struct(F.lit(0).alias("kind"), F.col("doc_id").alias("id")).alias("key"), "text").unionByName(
-        references.where(F.col("text").isNotNull() & F.col("level").isNotNull()).select(F.struct(F.lit(1).alias("kind"), F.col("ref_id").alias("id")).alias("key"), "text")
-    )
-    measured = measures(texts)
-    graded = measured.where(F.col("key.kind") == 1).join(F.broadcast(references.select(F.col("ref_id").alias("r"), "level")), F.col("key.id") == F.col("r"))
-    return assign(measured.where(F.col("key.kind") == 0), calibrate(graded)).select(F.col("key.id").alias("doc_id"), "level")
+    cases = documents.where(F.col("source").isin(*PROSE_SOURCES) & F.lower("lang").rlike(ENGLISH) & F.col("text").isNotNull())
+    graded = references.where(F.col("text").isNotNull() & F.col("level").isNotNull())
+    texts = cases.select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(graded.select(F.lit(1).alias("kind"), F.col("ref_id").alias("id"), "text"))
+    measured = measures(texts, least_words)
+    samples = measured.where(F.col("kind") == 1).join(graded.select(F.col("ref_id").alias("id"), "level"), "id")
+    return assign(measured.where(F.col("kind") == 0), calibrate(samples)).select(F.col("id").alias("doc_id"), "level")
