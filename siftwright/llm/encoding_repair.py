@@ -73,9 +73,13 @@ _TYPO = set("–—‘’‚“”„…•€™«»°§©®×÷½¼¾±µ·¿
 _HAN_LOW, _HAN_HIGH = 0x4E00, 0x9FFF
 
 
+#: A lead byte of two-byte UTF-8 as cp1252 shows it, and what cp1252 shows of the byte that follows one.
+_PAIR = re.compile("[ÂÃÄÅÎÏÐÑ][\u00a0-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+
+
 def garbling_cost(text: str) -> float:
     """How garbled a stretch looks: 0 for clean text of any script, growing with impossible neighbours."""
-    cost = 0.0
+    cost = 1.0 * len(_PAIR.findall(text))
     for m in _WORD.finditer(text):
         word = m.group()
         letters = [c for c in word if c.isalpha()]
@@ -151,17 +155,19 @@ def _as_utf8(run: str) -> str | None:
 
 
 def _utf8_runs(line: str) -> str:
-    """Restores every stretch of the line that is UTF-8 in disguise, if the cost drops by it."""
-
-    def fix(m: re.Match) -> str:
-        run = m.group()
-        text = _as_utf8(run)
+    """Restores every stretch of the line that is UTF-8 in disguise, if the cost drops by one of them at least."""
+    drops = False
+    for m in _HIGH.finditer(line):
+        text = _as_utf8(m.group())
         if text is None or "\ufffd" in text:
-            return run
+            continue
         before, after = line[max(0, m.start() - 12) : m.start()], line[m.end() : m.end() + 12]
-        return text if garbling_cost(before + text + after) < garbling_cost(before + run + after) else run
-
-    return _HIGH.sub(fix, line)
+        if garbling_cost(before + text + after) < garbling_cost(before + m.group() + after):
+            drops = True
+            break
+    if not drops:
+        return line
+    return _HIGH.sub(lambda m: t if (t := _as_utf8(m.group())) is not None and "\ufffd" not in t else m.group(), line)
 
 
 def _legacy_line(line: str) -> str:
