@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(base, n), os.path.relpath(os.path.join(base, n), os.path.dirname(package)))
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and read from there, so that what follows uses it more than once without making it again.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, one is made.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwright-checkpoint-"))
+    return frame.checkpoint(eager=True)
