@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Directories that hold other people's code.
 VENDOR_DIRS = "vendor|vendors|vendored|third_party|third-party|thirdparty|3rdparty|3rd_party|external|externals|extern|node_modules|bower_components|_workspace/src|contrib|deps|site-packages|jspm_packages"
 #: Directories and name endings of generated files.
@@ -204,7 +206,8 @@ def shared_subtrees(nodes: DataFrame) -> DataFrame:
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """``id, kind`` of each file that is not hand-written source."""
-    rows = judged(files)
+    # what the rules say, without the contents, is used four times below
+    rows = checkpointed(judged(files))
     candidates = rows.where(F.col("kind").isNull())
     marked = shared_subtrees(merkle_nodes(candidates))
     parts = F.split("path", "/")
