@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Sources that hold prose, and English as ``lang`` spells it.
 PROSE_SOURCES = ("readme", "tutorial", "guide", "issue", "review")
 ENGLISH = r"^\s*(en|eng|english)([-_].*)?\s*$"
@@ -118,7 +120,8 @@ def measures(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     broadcasts the ranks where it measures them to be small; else adaptive
     execution splits the hot partitions.
     """
-    words = word_counts(texts, least_words)
+    # word counts feed the ranks and the texts' own measures, and those the calibration and the cases
+    words = checkpointed(word_counts(texts, least_words))
     ranked = words.join(word_ranks(words), "word")
     cover = ranked.groupBy("kind", "id", "sentence", "letters").agg(F.percentile(F.col("rank").cast("double"), F.array(*map(F.lit, SHARES)), F.col("n")).alias("c"))
     return cover.select("kind", "id", *[F.log1p(F.col("c")[i]).alias(f"cover_{i}") for i in range(len(SHARES))], "sentence", "letters")
