@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import tokenizer
 
-#: Documents a shard holds on average; the number of shards follows from the number of documents.
-SHARD_DOCUMENTS = 4000
+#: Documents and characters a shard holds on average at most; the number of shards follows from the table.
+SHARD_DOCUMENTS, SHARD_CHARS = 4000, 50_000_000
 #: BM25 as published.
 K1, B = 1.2, 0.75
 #: Below this share of free room the best fit counts, no longer the score.
@@ -151,7 +151,8 @@ def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = tokenizer.D
     rows, so the driver reads it.
     """
     caps = [(r.budget_id, r.capacity_tokens) for r in budgets.select("budget_id", "capacity_tokens").collect() if r.capacity_tokens and r.capacity_tokens > 0]
-    shards = max(1, -(-documents.count() // shard_documents))
+    n, chars = documents.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    shards = max(1, -(-n // shard_documents), -(-(chars or 0) // SHARD_CHARS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
