@@ -181,7 +181,6 @@ class Automaton:
             if at in name_at:
                 at, spdx = name_at[at]
                 got.add(spdx)
-                expect = False
             else:
                 nxt = text.find(" ", at + 1)
                 word = text[at + 1 : nxt] if nxt > 0 else ""
