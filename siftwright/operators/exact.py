@@ -47,7 +47,7 @@ def common_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def own_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Hashes of ``a`` that ``b`` lacks."""
-    return a.select("sha").exceptDistinct(b.select("sha")) if hasattr(a, "exceptDistinct") else a.select("sha").subtract(b.select("sha"))
+    return a.select("sha").subtract(b.select("sha"))
 
 
 def exact_mask(hashed: DataFrame, other: DataFrame, name: str) -> DataFrame:
