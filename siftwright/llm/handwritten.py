@@ -84,14 +84,17 @@ _BANNER_HINTS = ("upstream", "library, bundled", "aken unchanged from", "mported
 def is_minified(content: str, path: str) -> bool:
     """Long lines with next to no white space and much punctuation, or with statement upon statement, apart from a leading comment."""
     n = len(content)
-    if n < 150 or n < 55 * (content.count("\n") + 1):
+    if n < 150 or n < 40 * (content.count("\n") + 1):
         return False
     if content.lstrip()[:2] in ("/*", "//", "--") or content.lstrip()[:1] == "#":
         content = _LEAD.sub("", content, count=1)
         n = len(content)
     per_line = n / (content.count("\n") + 1)
-    if n < 150 or per_line < (55 if _MINIFIED_PATH.search(path) else 100):
+    if n < 150 or per_line < 40:
         return False
+    if per_line < (55 if _MINIFIED_PATH.search(path) else 100):
+        # minified code may be wrapped: statement upon statement, and next to no white space
+        return len(_JOINED.findall(content)) > n / 150 and n - len(_SPACE.sub("", content)) < 0.08 * n
     if per_line > 200 and len(_JOINED.findall(content)) > n / 150:
         return True
     blank = n - len(_SPACE.sub("", content))
