@@ -255,6 +255,26 @@ def test_chart_costs():
     assert [g.cost(s) for s in ("i", "i+(i+i)", "i+", "i i".replace(" ", ""), "(i+i", "")] == [0, 0, 1, 1, 1, 1]
 
 
+@pytest.mark.parametrize(
+    ("language", "head", "element", "tail"),
+    [
+        ("JavaScript", "var a = [", "[1, 2]", "];"),
+        ("JavaScript", "var a = [", "{x: 1}", "];"),
+        ("JavaScript", "var a = {", "k: [1, f(x).y]", "};"),
+        ("C", "enum e {", "N", "};"),
+        ("C", "int a[] = {", "[1] = f(2)", "};"),
+        ("Java", "enum E {", "N(1, 2)", "; E(int a, int b) {} }"),
+        ("Java", "enum E {", "N", "}"),
+        ("Go", "package a\nvar x = []T{", "T{1, f(2)}", "}"),
+    ],
+)
+def test_long_lists(language, head, element, tail):
+    for n in (3, 30, 600):
+        text = ", ".join([element] * n)
+        assert syntax.edits(language, head + text + tail) == (0, None)
+        assert syntax.edits(language, f"{head}{text}, = , {text}{tail}")[0] > 0
+
+
 def test_parsed(spark):
     ext = spark.createDataFrame([(0, "Python", [".py"]), (1, "Markdown", [".md"]), (2, "JSON", [".json"]), (3, "X", None)], "ordinal int, name string, extensions array<string>")
     rows = [(1, "a/x.py", "x = (1", "o/r", ".py"), (2, "a/y.py", "x = 1", "o/r", " PY"), (3, "a/z.json", "{", "o/r", None), (4, "a/m.md", "((", "o/r", ".md"), (5, "a/n.py", None, "o/r", ".py"), (6, "a/n.py", " \n", "o/r", ".py"), (7, None, "x", "o/r", None)]
