@@ -6,9 +6,11 @@ times entry hash, modulo two primes.  The recursion is linear, so a file's share
 in each directory above it follows from the names on its path, bottom-up within
 its row, and one sum gives all directories at once, partially added before the
 shuffle: neither a deep tree nor a hot directory costs a round or a task of its
-own.  A subtree (or a single file) that repositories of unrelated owners share
-is vendored wherever it lies, if in one of them it lies among other people's
-code or names its upstream project.
+own.  A subtree (or a single file, under any name) that repositories of
+unrelated owners share is vendored wherever it lies, if in one of them it lies
+among other people's code or names its upstream project.  A shared directory of
+several files needs no such sign: it is vendored in each repository of which it
+is no more than half, as it would else be a fork or the project itself.
 
 Generated, minified and data files: rules on header, layout and path.
 
@@ -170,7 +172,7 @@ def _residue(x: Column, prime: int) -> Column:
 
 
 def shares(path: Column, leaf: Column) -> Column:
-    """A file's share in the hash of itself (by name) and of each directory above it, bottom-up."""
+    """A file's own hash, then its share in the hash of its entry (by name) and of each directory above it, bottom-up."""
     parts = F.split(path, "/")
     n = F.size(parts)
     start = F.struct(F.lit(0).alias("up"), *[_residue(leaf, p).alias(f"h{k}") for k, p in enumerate(PRIMES)])
@@ -185,26 +187,29 @@ def shares(path: Column, leaf: Column) -> Column:
 
 
 def merkle_nodes(leaves: DataFrame) -> DataFrame:
-    """``repo_name, dir, h0, h1, leaves, vendored``: the hash of every file (by name) and directory of each repository.
+    """``repo_name, dir, h0, h1, leaves, vendored``: the hash of every file (under any name) and directory of each repository.
 
     ``leaves`` has ``repo_name, path, hash, vendored``; a path extracted twice with one content counts once.
     A file's own node has its path as ``dir``.
     """
     once = leaves.groupBy("repo_name", "path", "hash").agg(F.max("vendored").alias("vendored"))
-    climbed = once.select("repo_name", "path", "vendored", F.explode(F.slice(shares(F.col("path"), F.col("hash")), 2, 1 << 20)).alias("s"))
+    # names count within directories only: a file's own hash, and the shares from its directory on
+    ways = F.filter(shares(F.col("path"), F.col("hash")), lambda s: s["up"] != 1)
+    climbed = once.select("repo_name", "path", "vendored", F.explode(ways).alias("s"))
     # the node reached after `up` names: the path without its last up - 1 parts; the root is left out
     parts = F.split("path", "/")
-    node = F.array_join(F.slice(parts, 1, F.size(parts) - F.col("s.up") + 1), "/")
+    node = F.array_join(F.slice(parts, 1, F.size(parts) - F.greatest(F.col("s.up") - 1, F.lit(0))), "/")
     nodes = climbed.select("repo_name", node.alias("dir"), "s.h0", "s.h1", "vendored")
     sums = nodes.groupBy("repo_name", "dir").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.count(F.lit(1)).alias("leaves"), F.max("vendored").alias("vendored"))
     return sums.select("repo_name", "dir", _residue(F.col("h0"), PRIMES[0]).alias("h0"), _residue(F.col("h1"), PRIMES[1]).alias("h1"), "leaves", "vendored")
 
 
-def shared_subtrees(nodes: DataFrame) -> DataFrame:
-    """``repo_name, dir`` of the nodes that unrelated owners share and that one of them shows to be another project's."""
+def shared_subtrees(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``repo_name, dir`` of the nodes that unrelated owners share and that are another project's: one of them shows it, or it is a directory of several files and no more than half of ``sizes(repo_name, files)``."""
     owner = F.lower(F.substring_index("repo_name", "/", 1))
     same = nodes.groupBy("h0", "h1", "leaves").agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.max("vendored").alias("v"))
-    return nodes.join(same.where((F.col("a") != F.col("b")) & F.col("v")).select("h0", "h1", "leaves"), ["h0", "h1", "leaves"]).select("repo_name", "dir")
+    shared = nodes.select("repo_name", "dir", "h0", "h1", "leaves").join(same.where((F.col("a") != F.col("b")) & (F.col("v") | (F.col("leaves") > 1))).select("h0", "h1", "leaves", "v"), ["h0", "h1", "leaves"])
+    return shared.join(sizes, "repo_name").where(F.col("v") | (2 * F.col("leaves") <= F.col("files"))).select("repo_name", "dir")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
@@ -212,7 +217,8 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     # what the rules say, without the contents, is used four times below
     rows = checkpointed(judged(files))
     candidates = rows.where(F.col("kind").isNull())
-    marked = shared_subtrees(merkle_nodes(candidates))
+    sizes = candidates.select("repo_name", "path", "hash").distinct().groupBy("repo_name").agg(F.count(F.lit(1)).alias("files"))
+    marked = shared_subtrees(merkle_nodes(candidates), sizes)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     # only files that do not show it themselves have to be looked up

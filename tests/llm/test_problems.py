@@ -40,6 +40,20 @@ def test_kinds(spark):
     assert handwritten.not_handwritten(files(spark, rows).limit(0)).count() == 0
 
 
+def test_shared_subtrees_decide_by_themselves(spark):
+    a, b, c = ("def f(x):\n    return x + %d\n" % k * 20 for k in range(3))
+    own = [(20 + k, f"r/src/own{k}.py", a + "#" * (k + 1), repo) for k, repo in enumerate(["one/p"] * 3 + ["two/q"] * 3 + ["five/u"] * 3)]
+    rows = [
+        (1, "p/lib/zed/one.py", a, "one/p"), (2, "p/lib/zed/sub/two.py", b, "one/p"), (3, "q/util/zed/one.py", a, "two/q"), (4, "q/util/zed/sub/two.py", b, "two/q"),
+        # the project itself; a single file is no evidence
+        (5, "zed/one.py", a, "three/zed"), (6, "zed/zed/one.py", a, "three/zed"), (7, "zed/zed/sub/two.py", b, "three/zed"), (8, "r/one.py", a, "four/t"),
+        # a copy under another name
+        (9, "s/vendor/lib/name.py", c, "four/t"), (10, "u/src/renamed.py", c, "five/u"), *own,
+    ]
+    got = {r.id: r.kind for r in handwritten.not_handwritten(files(spark, [(i, path, text, repo) for i, path, text, repo in rows])).collect()}
+    assert got == dict.fromkeys((1, 2, 3, 4, 9, 10), "vendored")
+
+
 def test_merkle_nodes_do_not_depend_on_place(spark):
     leaf = "repo_name string, path string, hash bigint, vendored boolean"
     rows = [("a/x", "p/lib/one.c", 11, False), ("a/x", "p/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/one.c", 11, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("c/z", "lib/one.c", 11, False), ("c/z", "lib/sub/two.c", 23, False)]
