@@ -77,6 +77,8 @@ LANGUAGES: dict[str, tuple[str, ...]] = {
     "webassembly": ("webassembly",),
 }
 FAMILIES = (*PATTERNS, *NESTED)
+#: Nested delimiters up to which a text's are followed by an expression.
+MOST_MARKS = 1000
 
 
 def _unix_lines(pattern: str) -> str:
@@ -107,25 +109,48 @@ def outside_nested(text: str, opening: str, closing: str) -> str:
     return "".join(kept)
 
 
-def remove_nested(text: Column, opening: str, closing: str) -> Column:
-    """Text outside nested delimiters; only texts that have one go to Python, where the depth is followed in linear time."""
+def _walked(text: Column, opening: str, closing: str) -> Column:
+    """``outside_nested`` as an expression: the pieces between delimiters in turn, with the depth before each."""
+    marks = f"{re.escape(opening)}|{re.escape(closing)}"
+    pieces, found = F.split(text, marks, -1), F.regexp_extract_all(text, F.lit(marks), 0)
+
+    def walk(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x["mark"] == opening, 1).when(x["mark"] == closing, -1).otherwise(0)
+        kept = F.concat(acc["kept"], F.when(acc["depth"] <= 0, x["piece"]).otherwise(""), F.when((x["mark"] == opening) & (depth <= 0), opening).otherwise(""))
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    # one piece more than delimiters: the last has none
+    steps = F.zip_with(pieces, found, lambda piece, mark: F.struct(piece.alias("piece"), F.coalesce(mark, F.lit("")).alias("mark")))
+    return F.aggregate(steps, start, walk, lambda acc: acc["kept"])
+
+
+def remove_nested(text: Column, opening: str, closing: str, where: Column | None = None) -> Column:
+    """Text outside nested delimiters, where the condition ``where`` holds; elsewhere of no defined value.
+
+    The expression copies what it keeps at each delimiter, so texts with more
+    than ``MOST_MARKS`` go to Python, which takes time in proportion to their length.
+    """
 
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: outside_nested(t, opening, closing) if isinstance(t, str) else None).astype(object)
 
     some = F.contains(text, F.lit(opening)) | F.contains(text, F.lit(closing))
-    return F.when(some, F.pandas_udf(run, StringType())(F.when(some, text))).otherwise(text)
+    some = some if where is None else where & some
+    many = some & (F.regexp_count(text, F.lit(f"{re.escape(opening)}|{re.escape(closing)}")) > MOST_MARKS)
+    # Python sees the texts meant for it only: the condition stands within its argument
+    return F.when(many, F.pandas_udf(run, StringType())(F.when(many, text))).when(some, _walked(text, opening, closing)).otherwise(text)
 
 
-def strip_comments(text: Column, family: str, strict: bool = False, nested_last: bool = False) -> Column:
-    """The text without the comments of a family; ``nested_last`` removes line comments before nested ones."""
+def strip_comments(text: Column, family: str, strict: bool = False, nested_last: bool = False, where: Column | None = None) -> Column:
+    """The text without the comments of a family; ``nested_last`` removes line comments before nested ones, and ``where`` is a condition on which alone the result is used."""
     if family in NESTED:
         opening, closing, rest = NESTED[family]
         if nested_last:
             for pattern, to in rest:
                 text = F.regexp_replace(text, _unix_lines(pattern), to)
-            return remove_nested(text, opening, closing)
-        text = remove_nested(text, opening, closing)
+            return remove_nested(text, opening, closing, where)
+        text = remove_nested(text, opening, closing, where)
     else:
         rest = STRICT.get(family, PATTERNS[family]) if strict else PATTERNS[family]
     for pattern, to in rest:
@@ -151,9 +176,8 @@ def strip_by_extension(text: Column, extension: Column, languages: dict[str, lis
             groups.setdefault(families, []).append(ending)
     out = None
     for families, endings in groups.items():
-        stripped = text
+        stripped, condition = text, extension.isin(*endings)
         for family in families:
-            stripped = strip_comments(stripped, family, strict, nested_last)
-        condition = extension.isin(*endings)
+            stripped = strip_comments(stripped, family, strict, nested_last, condition)
         out = F.when(condition, stripped) if out is None else out.when(condition, stripped)
     return text if out is None else out.otherwise(text)

@@ -1,8 +1,10 @@
 """Near duplicates: shingles, MinHash signatures, banded candidates and masks.
 
-Equal normal texts are one class and get one signature.  A corpus' bands are a
-table of (band, key, class); a text of the own corpus is a near duplicate of
-another corpus if any of its bands is there, without emitting pairs.
+Equal normal texts are one class, named by their hash.  Texts are signed where
+they lie, and what follows shuffles hashes and signatures only, never texts.  A
+corpus' bands are a table of (band, band key, class); a text of the own corpus
+is a near duplicate of another corpus if any of its bands is there, without
+emitting pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of a shingle, permutations, and the weights of the two errors.
 SHINGLE, PERMUTATIONS = 7, 128
@@ -21,6 +24,8 @@ THRESHOLD, WEIGHTS = 0.7, (0.4, 0.6)
 PRIME = 4294967311
 SEED = 1
 _BLOCK = 4096
+#: Signatures a task remembers; more are made anew.
+_KNOWN = 4096
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> list[tuple[int, int]]:
@@ -65,29 +70,46 @@ def signature_of(text: str, factors: np.ndarray, offsets: np.ndarray, size: int
     return least
 
 
-def signatures(classes: DataFrame, size: int = SHINGLE, n: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """``key, signature`` of ``classes(key, text)``: narrow; shingles live within a row and are never shuffled."""
+def keyed(corpus: DataFrame, text: str = "normal") -> DataFrame:
+    """``key, text`` of each row with a text; the key names its class."""
+    return corpus.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("key"), F.col(text).alias("text"))
+
+
+def signatures(rows: DataFrame, size: int = SHINGLE, n: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+    """``key, signature`` of each row of ``rows(key, text)``, with its other columns: narrow; shingles live within a row and are never shuffled.
+
+    A class that a task has just signed is not signed again, so that hot copies cost one signature a task.
+    """
     family = permutations(n, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors, offsets = (np.array(v, dtype=np.int64) for v in zip(*family))
+        known: dict[str, np.ndarray] = {}
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "signature": [signature_of(t or "", factors, offsets, size) for t in pdf["text"]]})
+            out = []
+            for key, text in zip(pdf["key"], pdf["text"]):
+                if key not in known:
+                    if len(known) >= _KNOWN:
+                        known.pop(next(iter(known)))
+                    known[key] = signature_of(text or "", factors, offsets, size)
+                out.append(known[key])
+            yield pdf.drop(columns="text").assign(signature=out)
 
-    kind = classes.schema["key"].dataType.simpleString()
-    return classes.select("key", "text").mapInPandas(run, f"key {kind}, signature array<bigint>")
+    kept = [f for f in rows.schema if f.name != "text"]
+    return rows.select(*[f.name for f in kept], "text").mapInPandas(run, T.StructType([*kept, T.StructField("signature", T.ArrayType(T.LongType()))]))
 
 
-def classes_of(corpus: DataFrame, text: str = "normal") -> DataFrame:
-    """``key, text``: one row for each different normal text, by its hash; null texts have none."""
-    return corpus.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("key")).agg(F.first(text).alias("text"))
+def classes(corpus: DataFrame, text: str = "normal") -> DataFrame:
+    """``key, signature``: one row for each different normal text; null texts have none.  Only keys and signatures are shuffled."""
+    return signatures(keyed(corpus, text)).distinct()
 
 
 def bands(signed: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
-    """``band, band_key, key``: the index of a corpus."""
+    """``band, band_key, key``: the index of a corpus, with what other columns ``signed`` has."""
     b, r = shape or band_shape()
     parts = F.array(*[F.struct(F.lit(k).alias("band"), F.md5(F.array_join(F.transform(F.slice("signature", k * r + 1, r), lambda v: v.cast("string")), ",")).alias("band_key")) for k in range(b)])
-    return signed.select("key", F.explode(parts).alias("p")).select("p.band", "p.band_key", "key")
+    kept = [c for c in signed.columns if c != "signature"]
+    return signed.select(*kept, F.explode(parts).alias("_b")).select("_b.band", "_b.band_key", *kept)
 
 
 def near_keys(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -107,15 +129,37 @@ def near_mask(corpus: DataFrame, keys: DataFrame, name: str, text: str = "normal
     return joined.withColumn(f"near_duplicates_{name}", F.coalesce("_there", F.lit(False))).drop("_k", "_key", "_there")
 
 
-def candidates(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``key, other_key``: pairs of class representatives that share a band; copies are not expanded."""
-    right = other.select("band", "band_key", F.col("key").alias("other_key"))
-    return own.join(right, ["band", "band_key"]).select("key", "other_key").distinct()
+def signed_alike(signed: DataFrame) -> DataFrame:
+    """``key, alike``: classes of equal signature have one name, as all texts too short for a shingle have."""
+    return signed.select("key", F.md5(F.array_join(F.transform("signature", lambda v: v.cast("string")), ",")).alias("alike"), "signature")
+
+
+def candidates(own: DataFrame, other: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """``key, other_key``: pairs of classes of ``own`` and ``other(key, signature)`` that share a band; copies are not expanded.
+
+    Bands are joined between names of equal signatures, of which each has one
+    row a band, so that the texts too short for a shingle, which share all
+    bands, meet as one pair; keys are put in at the end.
+    """
+    a, b = signed_alike(own), signed_alike(other)
+
+    def index(named: DataFrame) -> DataFrame:
+        return bands(named.select(F.col("alike").alias("key"), "signature").distinct(), shape)
+
+    pairs = index(a).join(index(b).withColumnRenamed("key", "_other"), ["band", "band_key"]).select("key", "_other").distinct()
+    met = pairs.withColumnRenamed("key", "alike").join(a.select("key", "alike"), "alike")
+    return met.join(b.select(F.col("key").alias("other_key"), F.col("alike").alias("_other")), "_other").select("key", "other_key")
+
+
+def _shingled(rows: DataFrame, keys: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``key, s``: the shingles of the classes among ``keys``; rows of no candidate are left before any text is shuffled or cut."""
+    chosen = rows.join(keys.distinct(), "key", "left_semi")
+    return chosen.groupBy("key").agg(F.any_value("text").alias("text")).select("key", shingles(F.col("text"), size).alias("s"))
 
 
 def verified(pairs: DataFrame, own: DataFrame, other: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``key, other_key, similarity`` of candidate pairs whose shingle sets are as similar as the threshold."""
-    a = own.select("key", shingles(F.col("text")).alias("a"))
-    b = other.select(F.col("key").alias("other_key"), shingles(F.col("text")).alias("b"))
+    """``key, other_key, similarity`` of candidate pairs whose shingle sets are as similar as the threshold; ``own`` and ``other`` have ``key, text``."""
+    a = _shingled(own, pairs.select("key")).withColumnRenamed("s", "a")
+    b = _shingled(other, pairs.select(F.col("other_key").alias("key"))).select(F.col("key").alias("other_key"), F.col("s").alias("b"))
     scored = pairs.join(a, "key").join(b, "other_key").select("key", "other_key", jaccard(F.col("a"), F.col("b")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Keys of the copyleft licences that a search asks for.
 COPYLEFT = ("gpl-2.0", "gpl-3.0", "agpl-3.0", "cecill-1.0", "cecill-1.1", "cecill-2.0", "cecill-2.1", "cecill-c", "epl-1.0", "epl-2.0", "lgpl-2.1", "lgpl-3.0", "ms-rl", "mpl-2.0", "eupl-1.1", "eupl-1.2", "osl-3.0")
 FIRST_MONTH, LAST_MONTH = date(2008, 1, 1), date(2024, 8, 1)
@@ -105,14 +107,31 @@ def quota(repos: DataFrame, least: int, most: int, order: list[Column]) -> DataF
 def numbered(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
     """Dense numbers from 0 in the given order, without gathering all rows in one task.
 
-    Rows are range-partitioned by the order, counted by partition, and numbered
-    within; the counts are one row a partition.
+    Rows are range-partitioned and sorted once; what comes out is written, as
+    the bounds of ranges are sampled anew by each job.  Each row's place in its
+    partition and the partitions' sizes, one row each, then give the number.
+    Ties get different numbers in no particular order.  Give narrow rows, and
+    join wide ones to them by a key.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [o.alias(f"_o{k}") for k, o in enumerate(order)]
-    ranged = rows.select("*", *keys).repartitionByRange(n, *[F.col(f"_o{k}") for k in range(len(order))]).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [F.col(f"_o{k}") for k in range(len(order))]
+    ranged = rows.select("*", *[o.alias(f"_o{k}") for k, o in enumerate(order)]).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # the number holds the partition above its low 33 bits and the place within it below
+    placed = checkpointed(ranged.withColumn("_m", F.monotonically_increasing_id()).drop(*[f"_o{k}" for k in range(len(order))]))
+    placed = placed.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a partition, so a window over all of them and a broadcast are bounded by the number of partitions
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_p").orderBy(*[F.col(f"_o{k}") for k in range(len(order))])
-    joined = ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
-    return joined.drop("_p", "_before", *[f"_o{k}" for k in range(len(order))])
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_m", "_p", "_k", "_before")
+
+
+def requeried(repos: DataFrame, most: int = 1000) -> DataFrame:
+    """``bucket, last_day, n``: hits of each star bucket, where one that reaches ``most`` is cut further by date windows; ``last_day`` is null for the others.
+
+    Repositories outside all windows are lost from a full bucket, as a search by date would lose them.  Buckets are 36, so their counts are broadcast.
+    """
+    bucketed = repos.withColumn("bucket", star_bucket(F.col("stargazers_count"))).where(F.col("bucket").isNotNull())
+    full = bucketed.groupBy("bucket").agg((F.count(F.lit(1)) >= most).alias("full"))
+    day = window_of(F.to_date(F.substring("created_at", 1, 10)))
+    cut = bucketed.join(F.broadcast(full), "bucket").withColumn("last_day", F.when(F.col("full"), day)).where(~F.col("full") | F.col("last_day").isNotNull())
+    return cut.groupBy("bucket", "last_day").agg(F.count(F.lit(1)).alias("n"))

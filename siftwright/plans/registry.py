@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments, text
 from ..operators import exact, extensions, masks, near, repos
+from ..session import checkpointed
 from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,14 +149,14 @@ def self_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates
 @_query("shingles_distinct", f"with {_CORPORA}, {_sql_bands('a')} select key, count(g) as n from a_cls left join a_shi using (key) group by key")
 def shingles_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near.classes_of(_foreign(spark, sf_dir, "foreign_a"))
-    return classes.select("key", F.size(near.shingles(F.col("text"))).cast("bigint").alias("n"))
+    rows = near.keyed(_foreign(spark, sf_dir, "foreign_a"))
+    return rows.select("key", F.size(near.shingles(F.col("text"))).cast("bigint").alias("n")).distinct()
 
 
 @_query("minhash_sig", f"with {_CORPORA}, {_sql_bands('own')} select key, md5(concat_ws(',', {', '.join(f'h{k}' for k in range(near.PERMUTATIONS))})) as digest from own_sig")
 def minhash_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = near.signatures(near.classes_of(_own(spark, sf_dir)))
-    return signed.select("key", F.md5(F.array_join(F.transform("signature", lambda v: v.cast("string")), ",")).alias("digest"))
+    signed = near.signatures(near.keyed(_own(spark, sf_dir)))
+    return near.signed_alike(signed).select("key", F.col("alike").alias("digest")).distinct()
 
 
 @_query("lsh_bands", f"with {_CORPORA}, {_sql_bands('a')} select band, band_key, key from a_ban")
@@ -165,7 +166,8 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("lsh_candidates", f"with {_CORPORA}, {_sql_bands('own')}, {_sql_bands('a')} select distinct o.key, t.key as other_key from own_ban o join a_ban t on o.band = t.band and o.band_key = t.band_key")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.candidates(pipeline.band_index(_own(spark, sf_dir)), pipeline.band_index(_foreign(spark, sf_dir, "foreign_a")))
+    own, other = (checkpointed(near.classes(c)) for c in (_own(spark, sf_dir), _foreign(spark, sf_dir, "foreign_a")))
+    return near.candidates(own, other)
 
 
 @_query(
@@ -178,8 +180,9 @@ select b.key, b.other_key, round(b.n::double / (o.n + t.n - b.n), 9) as similari
 from both_n b join own_n o on o.key = b.key join a_n t on t.key = b.other_key where b.n::double / (o.n + t.n - b.n) >= {near.THRESHOLD}""",
 )
 def near_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, other = near.classes_of(_own(spark, sf_dir)), near.classes_of(_foreign(spark, sf_dir, "foreign_a"))
-    pairs = near.candidates(near.bands(near.signatures(own)), near.bands(near.signatures(other)))
+    own, other = near.keyed(_own(spark, sf_dir)), near.keyed(_foreign(spark, sf_dir, "foreign_a"))
+    signed = (checkpointed(near.signatures(rows).distinct()) for rows in (own, other))
+    pairs = checkpointed(near.candidates(*signed))
     return near.verified(pairs, own, other).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -369,10 +372,12 @@ def file_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import stored  # noqa: F401  registers its queries, which are built from those here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+    from . import stored  # noqa: F401
 
+    return dict(_SQL)

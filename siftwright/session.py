@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read from there, so that what follows uses it more than once without making it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, one is made.
+    Only where that is unset and the session is local, as in tests, is one made; on a cluster a machine's own folder would not do.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="siftwright-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwright-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that one query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read from there, so that what follows uses it more than once without making it again.
+
+    Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark removes it when the frame is no longer used.
+    """
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

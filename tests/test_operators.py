@@ -1,12 +1,16 @@
 import datetime
+import glob
 import hashlib
 import itertools
+import json
+import os
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright.functions import text
+from siftwright.functions import comments, text
 from siftwright.operators import exact, extensions, extract, masks, near, repos
 from siftwright.plans import pipeline, registry
 from siftwright.sources import pages, tables
@@ -98,9 +102,8 @@ def test_near_pairs_against_brute_force(spark):
     base = ["".join(rng.choice(words, 60)) for _ in range(12)]
     texts = base + [t[:-20] + "x" * 20 for t in base] + [base[0]]
     frame = spark.createDataFrame([(t,) for t in texts], "normal string")
-    classes = near.classes_of(frame)
-    index = near.bands(near.signatures(classes))
-    found = near.verified(near.candidates(index, index), classes, classes, 0.8).collect()
+    rows, signed = near.keyed(frame), near.classes(frame)
+    found = near.verified(near.candidates(signed, signed), rows, rows, 0.8).collect()
     sets = {hashlib.sha256(t.encode()).hexdigest(): {t[k : k + 7] for k in range(len(t) - 6)} for t in texts}
     wanted = {(a, b) for a, b in itertools.product(sets, sets) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     assert {(r.key, r.other_key) for r in found} == wanted
@@ -163,22 +166,84 @@ def test_stream(spark, tmp_path):
 
 
 DATA = "/root/testdata/sf0.001"
+NAMES = sorted(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["exact_mask", "combined_mask", "repo_dedup_lang", "line_stats", "date_windows"])
-def test_queries_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def tables_in_sql():
     duckdb = pytest.importorskip("duckdb")
-    import glob
-    import os
-    from collections import Counter
-
     if not os.path.isdir(DATA):
         pytest.skip("no tables")
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return con
+
+
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(NAMES)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_queries_against_sql(spark, tables_in_sql, name):
     frame = registry.queries()[name](spark, DATA)
     columns = sorted(frame.columns)
-    sql = con.execute(registry.oracle_sql()[name])
+    sql = tables_in_sql.execute(registry.oracle_sql()[name])
     at = [[d[0] for d in sql.description].index(c) for c in columns]
     assert Counter(map(tuple, frame.select(columns).collect())) == Counter(tuple(r[i] for i in at) for r in sql.fetchall())
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8, 64, 200])
+def test_numbers_do_not_depend_on_partitions(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        # two columns of which one is pruned, and repeated first ones
+        frame = spark.range(0, 20000, 1, 7).select((F.col("id") * 7919 % 20000).alias("k"), (F.col("id") % 5).alias("g"))
+        got = repos.numbered(frame, [F.col("g"), F.col("k")], "n").select("k", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(((k * pow(7919, -1, 20000)) % 20000 % 5, k) for k in range(20000))
+    assert {r.k: r.n for r in got} == {k: n for n, (_, k) in enumerate(order)} and len(got) == 20000
+    assert repos.numbered(frame.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_pages_have_no_end_but_the_limit(spark, tmp_path):
+    for k in range(13):
+        (tmp_path / f"s{k % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"s{k % 2}" / f"{k:02}.json").write_text(json.dumps({"items": [{"id": 200 * k + i, "license": {"key": "mit"}} for i in range(150)]}))
+    spark.dataSource.register(pages.RepositoryPages)
+    read = lambda **o: spark.read.format("repository_pages").options(**o).load(str(tmp_path))
+    assert read().select("id").distinct().count() == 13 * 150
+    assert read(limit=310).count() == 310 and read(limit=0).count() == 0
+
+
+def test_many_nested_comments_are_followed_alike(spark, monkeypatch):
+    texts = ["(*" * k + "x" + "*)" * m + "y(*)z" for k in range(4) for m in range(5)] + [None, "", "plain (x*y)"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    wanted = [None if t is None else comments.outside_nested(t, "(*", "*)") for t in texts]
+    for most in (1000, 2):
+        monkeypatch.setattr(comments, "MOST_MARKS", most)
+        assert [r.x for r in frame.select(comments.remove_nested(F.col("t"), "(*", "*)").alias("x")).collect()] == wanted
+
+
+def test_index_takes_the_other_column(spark):
+    frame = spark.createDataFrame([("a.x", "one text that is long enough", "quite another code of some length")], "path string, text string, code string")
+    row = pipeline.for_index(pipeline.normal_corpus(frame, {}), {}).first()
+    assert row.normal == "onetextthatislongenough" and row.near_normal == "quiteanothercodeofsomelength" and row.near_key != row.sha
+
+
+def test_masks_of_several_corpora(spark, languages):
+    base = "def f(x):\n    return x + 1\n" * 9
+    own = spark.createDataFrame([(k, "a.py", t) for k, t in enumerate([base, base, None, "", "q" * 40])] + [(9, None, None)], "id int, path string, content string")
+    others = {"p": spark.createDataFrame([("a.py", base)], "path string, content string"), "q": spark.createDataFrame([("b.py", None)], "path string, content string"), "none": own.select("path", "content").limit(0)}
+    got = {r.id: [r[f"{kind}_duplicates_{n}"] for n in others for kind in ("exact", "near")] for r in pipeline.masked(own, others, languages).collect()}
+    both, empty = [True, True, False, False, False, False], [False, False, True, True, False, False]
+    assert got == {0: both, 1: both, 2: empty, 3: empty, 4: [False] * 6, 9: empty}
+    assert pipeline.masked(own, {}, languages).count() == 6
+
+
+def test_no_text_is_shuffled_for_masks(spark, languages):
+    own = spark.createDataFrame([(1, "a.py", "x" * 30)], "id int, path string, content string")
+    plan = near.classes(own.withColumnRenamed("content", "normal"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "normal" not in next(line for line in plan.splitlines() if "Exchange" in line)
