@@ -1,15 +1,16 @@
 """Problem 3: duplicates hidden by formatting differences.
 
-An incremental ledger keeps, in buckets of a canonical key, how many records had
-that key and which came first.  Each new batch is aggregated (partially on the
-map side, so that a hot key costs one row a task), joined to the ledger by a
-full outer join on bucket and key, and the counts are added; the earliest
-representative stays.
+An incremental ledger, a table stored by buckets of a canonical key, keeps how
+many records had that key and which came first.  Each new batch is aggregated
+(partially on the map side, so that a hot key costs one row a task) and joined
+to the ledger's matching buckets by a full outer join on bucket and key; counts
+are added and the earliest representative stays.  Only buckets that the batch
+touches are read and written again.
 
 The canonical key is a 128-bit digest of the extension and the content without
 letter case and without anything but letters and digits.  For JSON, YAML and
-INI-like files the order of fields, settings and sections is undone first; a
-file that cannot be read as such keeps its order.
+INI-like files the order of fields, settings and sections is undone first, by
+readers that need no valid syntax.
 
 Defined results: records without a letter or digit (null, empty, blank) have a
 null key and are left out; a null extension counts as an empty one; ties in
@@ -19,22 +20,24 @@ ledger as it is.
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import checkpointed, scratch
+
 #: Extensions of the formats in which order does not count.
 JSON_EXTENSIONS = ("json", "geojson")
 YAML_EXTENSIONS = ("yml", "yaml")
 INI_EXTENSIONS = ("ini", "properties")
 
-BUCKETS = 4096
-#: Copies of a repeated key's ledger row, so that rows of one key are spread over as many tasks.
-SALTS = 8
+#: Buckets of a stored ledger: folders of which a batch reads and writes those it touches.
+BUCKETS = 64
+#: A key with more than this share of all rows is hot; there are fewer such keys than its inverse, so that they can be broadcast.
+HOT_SHARE = 1e-4
 
 _DROP = re.compile(r"[\W_]+")
 _STRIP = r"^[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
@@ -47,24 +50,35 @@ def plain(text: str) -> str:
     return _DROP.sub("", text.lower())
 
 
-def _canon(node) -> str:
-    if isinstance(node, _Fields):
-        return "".join(sorted(plain(k) + _canon(v) for k, v in node))
-    if isinstance(node, list):
-        return "".join(map(_canon, node))
-    return plain(node) if isinstance(node, str) else plain(json.dumps(node))
-
+_JSON_PIECE = re.compile(r'"(?:\\.|[^"\\])*"?|[{}\[\],]|[^"{}\[\],]+', re.S)
 
-class _Fields(list):
-    """The fields of an object, repeated names kept."""
 
+def canonical_json(text: str) -> str:
+    """Fields of each object sorted, lists in their order; what is not closed ends with the text, so that any text has a form."""
+    # each frame: whether an object, its fields or elements so far, and the parts of the one that is open
+    stack: list[tuple[bool, list[str], list[str]]] = [(False, [], [])]
 
-def canonical_json(text: str) -> str | None:
-    try:
-        # numbers keep their spelling, so that equal letters and digits stay equal
-        return _canon(json.loads(text, object_pairs_hook=_Fields, parse_float=str, parse_int=str, parse_constant=str, strict=False))
-    except (ValueError, RecursionError):
-        return None
+    def fold() -> None:
+        is_object, done, now = stack.pop()
+        done.append("".join(now))
+        stack[-1][2].append("".join(sorted(done) if is_object else done))
+
+    for m in _JSON_PIECE.finditer(text):
+        s = m.group()
+        if s in ("{", "["):
+            stack.append((s == "{", [], []))
+        elif s in ("}", "]"):
+            if len(stack) > 1:
+                fold()
+        elif s == ",":
+            _, done, now = stack[-1]
+            done.append("".join(now))
+            now.clear()
+        else:
+            stack[-1][2].append(plain(s))
+    while len(stack) > 1:
+        fold()
+    return "".join([*stack[0][1], *stack[0][2]])
 
 
 _INI_SECTION = re.compile(r"^\s*\[(.*)\]\s*$")
@@ -126,10 +140,10 @@ def _siblings(own: list) -> str:
 
 
 def ordered_text(extension: pd.Series, content: pd.Series) -> pd.Series:
+    """The canonical form of each structured text; null for the texts of other formats, which come as null."""
     out = []
     for e, c in zip(extension, content):
-        t = canonical_json(c) if e in JSON_EXTENSIONS else canonical_yaml(c) if e in YAML_EXTENSIONS else canonical_ini(c)
-        out.append(plain(c) if t is None else t)
+        out.append(None if c is None else canonical_json(c) if e in JSON_EXTENSIONS else canonical_yaml(c) if e in YAML_EXTENSIONS else canonical_ini(c))
     return pd.Series(out, dtype="object")
 
 
@@ -138,16 +152,19 @@ def clean_extension(extension: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(extension, F.lit(""))), _STRIP, ""), r"^\.", "")
 
 
-def with_key(files: DataFrame) -> DataFrame:
-    """``id, bucket, key`` of each record of ``files(id, extension, content)`` that has a letter or digit."""
+def with_key(files: DataFrame, ordered: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """``id, bucket, key`` of each record of ``files(id, extension, content)`` that has a letter or digit: one scan.
+
+    With ``ordered`` the order of fields and settings counts in all formats.
+    """
     base = files.select("id", clean_extension(F.col("extension")).alias("e"), "content").where(F.col("content").rlike(r"[\p{L}\p{N}]"))
-    structured = F.col("e").isin(*JSON_EXTENSIONS, *YAML_EXTENSIONS, *INI_EXTENSIONS)
-    # each branch filters on its own, so that only structured files pass through Python
-    text = base.where(~structured).select("id", "e", F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", "").alias("t"))
-    order = base.where(structured).select("id", "e", F.pandas_udf(ordered_text, StringType())("e", "content").alias("t"))
-    key = F.unhex(F.md5(F.concat_ws("\x00", "e", "t").cast("binary")))
-    both = text.unionByName(order).select("id", key.alias("key"))
-    return both.select("id", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key")
+    bare = F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", "")
+    if not ordered:
+        structured = F.col("e").isin(*JSON_EXTENSIONS, *YAML_EXTENSIONS, *INI_EXTENSIONS)
+        # Python sees structured texts only: for others its argument is null
+        bare = F.when(structured, F.pandas_udf(ordered_text, StringType())("e", F.when(structured, F.col("content")))).otherwise(bare)
+    key = F.unhex(F.md5(F.concat_ws("\x00", "e", bare).cast("binary")))
+    return base.select("id", key.alias("key")).select("id", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key")
 
 
 def aggregate_batch(keyed: DataFrame) -> DataFrame:
@@ -167,25 +184,77 @@ def merge_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], LEDGER_SCHEMA)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; a filter on ``bucket`` reads only those folders."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def write_ledger(ledger: DataFrame, path: str) -> None:
+    """Stores the buckets that ``ledger`` holds, each as a folder, in place of what was there; other buckets stay."""
+    ledger.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
 
+def matching_buckets(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the stored ledger in the buckets that a batch touches: numbers below ``BUCKETS``, which the driver reads."""
+    touched = [r[0] for r in batch.select("bucket").distinct().collect()]
+    return ledger.where(F.col("bucket").isin(touched))
 
-def survivors(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger itself: one surviving row (``first_id``) for each record with its number of copies."""
-    spark = files.sparkSession
-    return merge_ledger(empty_ledger(spark) if ledger is None else ledger, aggregate_batch(with_key(files)))
 
+def add_batch(path: str, files: DataFrame, ordered: bool = False) -> None:
+    """Adds a batch of records to the ledger stored at ``path``, an empty one at first."""
+    _store(path, checkpointed(aggregate_batch(with_key(files, ordered))))
 
-def copies(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+
+def _store(path: str, batch: DataFrame) -> None:
+    spark = batch.sparkSession
+    if not _exists(spark, path):
+        write_ledger(batch, path)
+        return
+    # the rows to store are complete before the folders they come from are replaced
+    write_ledger(checkpointed(merge_ledger(matching_buckets(read_ledger(spark, path), batch), batch)), path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def survivors(files: DataFrame, batches: int = 2, ordered: bool = False) -> DataFrame:
+    """``first_id, copies``: one surviving row for each record with its number of copies, by a ledger that takes ``files`` in batches."""
+    _, merged = _last_merge(files, batches, ordered)
+    return merged.select("first_id", "copies")
+
+
+def _last_merge(files: DataFrame, batches: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with their keys, and the ledger after the last batch of them.
+
+    Batches are ranges of the id, as files with larger ids arrived later.  All
+    but the last are stored; the last is merged with what is stored.
+    """
+    keyed = checkpointed(with_key(files, ordered))
+    low, high = keyed.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return keyed, aggregate_batch(keyed)
+    number = F.least(F.floor((F.col("id") - low) / ((high - low + 1) / batches)).cast("int"), F.lit(batches - 1))
+    numbered = keyed.withColumn("_b", number)
+    path = scratch(files.sparkSession, "ledger")
+    for k in range(batches - 1):
+        _store(path, checkpointed(aggregate_batch(numbered.where(F.col("_b") == k))))
+    last = aggregate_batch(numbered.where(F.col("_b") == batches - 1))
+    return keyed, last if batches == 1 else merge_ledger(read_ledger(files.sparkSession, path), last)
+
+
+def copies(files: DataFrame, batches: int = 2, ordered: bool = False) -> DataFrame:
     """``first_id, id`` of each record that is a copy of an earlier one.
 
-    Only keys with several records go to the join.  Their ledger rows are
-    repeated once for each salt, so that the rows of a hot key, be they a third
-    of all, are spread over SALTS tasks and more where AQE splits them further.
+    Only keys with several records go to the join with the rows.  Hot keys are
+    fewer than ``1 / HOT_SHARE``, so they are broadcast and their rows stay
+    where they are; each other key has a small share of the rows.
     """
-    keyed = with_key(files)
-    repeated = merge_ledger(empty_ledger(files.sparkSession) if ledger is None else ledger, aggregate_batch(keyed)).where(F.col("copies") > 1)
-    salted = repeated.select("key", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = keyed.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(salted, ["key", "salt"]).where(F.col("id") != F.col("first_id")).select("first_id", "id")
+    keyed, merged = _last_merge(files, batches, ordered)
+    rows = keyed.select("id", "key")
+    hot = keyed.count() * HOT_SHARE
+    repeated = merged.where(F.col("copies") > 1)
+    cold = rows.join(repeated.where(F.col("copies") <= hot).select("key", "first_id"), "key")
+    warm = rows.join(F.broadcast(repeated.where(F.col("copies") > hot).select("key", "first_id")), "key")
+    return cold.unionByName(warm).where(F.col("id") != F.col("first_id")).select("first_id", "id")

@@ -14,7 +14,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 WRONG = ("cp1252", "latin-1", "cp1251", "cp1250", "cp437", "mac_roman", "iso8859-15", "cp850")
 #: Single-byte and double-byte encodings a text may really have had, beside UTF-8.
 INTENDED = ("iso8859-2", "cp1250", "cp1251", "koi8-r", "gb18030", "shift_jis", "euc-jp", "big5", "euc-kr", "iso8859-7", "cp1253", "iso8859-9", "cp866")
-MAX_LAYERS = 4
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f][^\s\x00-\x2c\x2e-\x40\x5b-\x60\x7b-\x7f]*")
@@ -131,7 +129,8 @@ def _as_utf8(run: str) -> str | None:
     A layer between may hold control characters (bytes the wrong encoding leaves undefined); the result may not.
     """
     now, done = run, None
-    for _ in range(MAX_LAYERS):
+    while True:
+        # each step makes the text shorter, so there is an end
         step = None
         for codec in WRONG:
             raw = _reencode(now, codec)
@@ -176,7 +175,7 @@ def _legacy_line(line: str) -> str:
     if had < 1.5:
         return line
     best, text = had, line
-    for wrong in ("cp1252", "latin-1", "cp1251"):
+    for wrong in WRONG:
         raw = _reencode(line, wrong)
         if raw is None:
             continue
@@ -231,14 +230,24 @@ def _quoted(line: str, fixed: str) -> bool:
 
 @lru_cache(maxsize=1 << 15)
 def restore_line(line: str) -> str:
-    """The line as it was before it was garbled, or the same line."""
+    """The line as it was before it was garbled, or the same line.
+
+    Both kinds of step are tried in turn for as long as the cost drops, so that
+    a layer of either kind under one of the other is undone as well.
+    """
     if line.isascii():
         return line
-    utf8 = _utf8_runs(line)
-    if _quoted(line, utf8):
-        return line
-    legacy = _legacy_line(line)
-    return utf8 if utf8 != line and garbling_cost(utf8) <= garbling_cost(legacy) else legacy
+    now, cost = line, garbling_cost(line)
+    while True:
+        utf8 = _utf8_runs(now)
+        if _quoted(now, utf8):
+            return now
+        legacy = _legacy_line(now)
+        new = utf8 if utf8 != now and garbling_cost(utf8) <= garbling_cost(legacy) else legacy
+        left = garbling_cost(new)
+        if new == now or now is not line and left >= cost:
+            return now
+        now, cost = new, left
 
 
 def restore(content: str) -> tuple[bool, str]:
@@ -260,24 +269,24 @@ def restore(content: str) -> tuple[bool, str]:
 
 def _lost(line: str) -> bool:
     """Replacement characters that stand for text, not ones named or quoted as such."""
-    return not re.search(r"(['\"`])�{1,2}\1", line) and not re.search(r"(?i)replacement|u\+?fffd", line)
+    return not re.search(r"(['\"`])�{1,2}\1", line) and not re.search(r"(?i)replacement[ _-]?(?:char|mark|glyph|symbol|code)|u\+?fffd", line)
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ids, shas = [], []
-        for i, content in zip(pdf["id"], pdf["content"]):
-            case, text = restore(content)
-            if case:
-                ids.append(i)
-                shas.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if text else "")
-        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "restored_sha": pd.Series(shas, dtype="object")})
-
-
-def garbled_files(files: DataFrame) -> DataFrame:
-    """``id, restored_sha`` of each row of ``files(id, content)`` that holds wrongly decoded text.
+def restored_files(files: DataFrame) -> DataFrame:
+    """``id, restored`` of each row of ``files(id, content)`` that holds wrongly decoded text: the whole content as it was, null if characters are lost for good.
 
     Narrow: one scan, no shuffle.  The JVM-side filter keeps ASCII-only rows away from Python.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, text or None) for i, (case, text) in zip(pdf["id"], map(restore, pdf["content"])) if case]
+            yield pd.DataFrame(rows, columns=["id", "restored"])
+
     some = files.select("id", "content").where(F.col("content").rlike(r"[^\x00-\x7F]"))
-    return some.mapInPandas(_batches, "id bigint, restored_sha string")
+    return some.mapInPandas(run, "id bigint, restored string")
+
+
+def garbled_files(files: DataFrame) -> DataFrame:
+    """``id, restored_sha``: the SHA-256 of each restored content, an empty string where it cannot be had."""
+    return restored_files(files).select("id", F.coalesce(F.sha2("restored", 256), F.lit("")).alias("restored_sha"))

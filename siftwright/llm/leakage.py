@@ -1,10 +1,10 @@
 """Problem 2: evaluation texts leaking into training text.
 
-Each training shard (the files of one Arrow batch, in parts of bounded size)
-gets an FM-index over words: suffix array by prefix doubling, Burrows-Wheeler
+Each training shard (files of one task up to a bounded size, over as many
+batches as that takes) gets an FM-index over words: suffix array by prefix doubling, Burrows-Wheeler
 transform, wavelet matrix with rank counts, and sampled suffix positions.  Every
-phrase of ``LEAST_WORDS`` consecutive words of every evaluation text is searched
-backwards in all ranges at once; occurrences are located from the samples by
+phrase of ``LEAST_WORDS`` consecutive words of every evaluation text whose words
+the shard has is searched backwards in all ranges at once; occurrences are located from the samples by
 walking backwards; overlapping ones are merged to spans for removal.
 
 Words that no evaluation text has cannot be part of a passage.  They stand for
@@ -21,16 +21,19 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed value: words a passage must have.
 LEAST_WORDS = 20
 #: Characters of text that one index covers; a file is never divided.
 SHARD_CHARS = 6_000_000
+#: Characters of evaluation texts that the driver agrees to read and broadcast.
+MOST_ITEM_CHARS = 100_000_000
 #: Every so many suffix positions one is kept.
 SAMPLE_RATE = 8
 
@@ -136,9 +139,13 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         self.base = self.matrix.place(np.arange(top + 1), np.zeros(top + 1, dtype=np.int64))
         # positions at the sampling rate are kept, and those after an end, over which no walk may go
-        kept = (order % SAMPLE_RATE == 0) | (self.bwt == 0)
-        self.sampled = np.full(self.n, -1, dtype=np.int32)
-        self.sampled[kept] = order[kept]
+        self.kept = np.flatnonzero((order % SAMPLE_RATE == 0) | (self.bwt == 0))
+        self.positions = order[self.kept].astype(np.int64)
+
+    def sampled(self, at: np.ndarray) -> np.ndarray:
+        """Kept positions of suffixes, -1 for others."""
+        slot = np.minimum(np.searchsorted(self.kept, at), len(self.kept) - 1)
+        return np.where(self.kept[slot] == at, self.positions[slot], -1)
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.first[symbol] + self.matrix.place(symbol, at) - self.base[symbol]
@@ -161,12 +168,12 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes, by walking backwards to a sampled one."""
         at, walked = rows.copy(), np.zeros(len(rows), dtype=np.int64)
-        out = self.sampled[at].astype(np.int64)
+        out = self.sampled(at)
         open_ = np.flatnonzero(out < 0)
         while len(open_):
             at[open_] = self.step(self.bwt[at[open_]], at[open_])
             walked[open_] += 1
-            got = self.sampled[at[open_]]
+            got = self.sampled(at[open_])
             hit = got >= 0
             out[open_[hit]] = got[hit] + walked[open_[hit]]
             open_ = open_[~hit]
@@ -221,8 +228,14 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, i
             size += e - s + 1
     if not parts:
         return []
-    index = FMIndex(np.concatenate(parts), phrases.top)
-    low, high = index.search(phrases.rows)
+    symbols = np.concatenate(parts)
+    there = np.bincount(symbols, minlength=phrases.top + 1) > 0
+    able = np.flatnonzero(there[phrases.rows].all(axis=1))
+    if not len(able):
+        return []
+    index = FMIndex(symbols, phrases.top)
+    low, high = np.zeros(len(phrases.rows), dtype=np.int64), np.zeros(len(phrases.rows), dtype=np.int64)
+    low[able], high[able] = index.search(phrases.rows[able])
     hits = np.flatnonzero(high > low)
     if not len(hits):
         return []
@@ -253,35 +266,80 @@ def character_spans(text: str, found: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[s][0], at[min(e, len(at)) - 1][1]) for s, e in found if s < len(at)]
 
 
-def _shards(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start = total = 0
-    for k, n in enumerate(sizes):
-        if total and total + n > SHARD_CHARS:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for s, e in sorted(map(list, spans)):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and contents of a task's files, in parts of about ``SHARD_CHARS`` characters; a file is never divided."""
+    ids, texts, total = [], [], 0
+    for pdf in batches:
+        for i, text in zip(pdf["id"], pdf["content"]):
+            n = len(text)
+            if texts and total + n > SHARD_CHARS:
+                yield ids, texts
+                ids, texts, total = [], [], 0
+            ids.append(i)
+            texts.append(text)
+            total += n
+    if texts:
+        yield ids, texts
+
+
+def _passages(files: DataFrame, items: DataFrame, least: int, rows_of: Callable[[list, list[str], dict], pd.DataFrame], schema: str) -> DataFrame:
+    """``rows_of(ids, contents, {(file, item): stretches of words})`` of each shard."""
+    held_chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if held_chars > MOST_ITEM_CHARS:
+        raise ValueError(f"evaluation texts of {held_chars} characters; MOST_ITEM_CHARS is {MOST_ITEM_CHARS}")
+    held = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]
+    shared = files.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrases = Phrases(shared.value, least)
+        for ids, texts in _shards(batches):
+            pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for text, item, first, end in search_shard(texts, phrases):
+                pairs.setdefault((text, item), []).append((first, end))
+            yield rows_of(ids, texts, pairs)
+
+    return files.where(F.length("content") > 0).select("id", "content").mapInPandas(run, schema)
 
 
 def leaked_passages(files: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``id, item_id, words, spans`` for each file of ``files(id, content)`` and item that share a passage.
 
-    Narrow: one scan, no shuffle.  The evaluation texts are a table of fixed
+    Narrow: one scan, no shuffle.  The evaluation texts are a table of checked
     size, which the driver reads and every worker turns into phrases once.
     """
-    held = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]
-    shared = files.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = Phrases(shared.value, least)
-        for pdf in batches:
-            texts, ids = pdf["content"].tolist(), pdf["id"].tolist()
-            for s, e in _shards([len(t or "") for t in texts]):
-                pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for text, item, first, end in search_shard(texts[s:e], phrases):
-                    pairs.setdefault((s + text, item), []).append((first, end))
-                rows = [(ids[t], i, sum(b - a for a, b in w), [list(x) for x in character_spans(texts[t], w)]) for (t, i), w in pairs.items()]
-                yield pd.DataFrame(rows, columns=["id", "item_id", "words", "spans"])
-
-    return files.select("id", "content").mapInPandas(run, "id bigint, item_id bigint, words int, spans array<array<int>>")
+    def rows_of(ids: list, texts: list[str], pairs: dict) -> pd.DataFrame:
+        rows = [(ids[t], i, sum(b - a for a, b in w), [list(x) for x in character_spans(texts[t], w)]) for (t, i), w in pairs.items()]
+        return pd.DataFrame(rows, columns=["id", "item_id", "words", "spans"])
+
+    return _passages(files, items, least, rows_of, "id bigint, item_id bigint, words int, spans array<array<int>>")
+
+
+def without_passages(files: DataFrame, items: DataFrame, least: int = LEAST_WORDS, mark: str = "") -> DataFrame:
+    """``id, items, spans, content`` of each file with a passage: its items, the spans of all of them merged, and the content with ``mark`` in place of each span."""
+
+    def rows_of(ids: list, texts: list[str], pairs: dict) -> pd.DataFrame:
+        found: dict[int, tuple[set, list]] = {}
+        for (t, i), w in pairs.items():
+            own = found.setdefault(t, (set(), []))
+            own[0].add(i)
+            own[1].extend(character_spans(texts[t], w))
+        rows = []
+        for t, (held, spans) in found.items():
+            spans, text = merged(spans), texts[t]
+            bounds = [0, *[x for span in spans for x in span], len(text)]
+            rows.append((ids[t], sorted(held), spans, mark.join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))))
+        return pd.DataFrame(rows, columns=["id", "items", "spans", "content"])
+
+    return _passages(files, items, least, rows_of, "id bigint, items array<bigint>, spans array<array<int>>, content string")

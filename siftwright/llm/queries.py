@@ -1,4 +1,4 @@
-"""Queries of the problems, each over its whole tables; none has SQL that could express its operator."""
+"""Queries of the problems, each over its whole tables; SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import canonical_ledger, credentials, encoding_repair, handwritten, leakage, licenses, packing, reading_level, syntax, tokenizer
 
 
@@ -29,6 +30,11 @@ def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "eval_items"))
 
 
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those files without the passages, and the spans that were removed."""
+    return leakage.without_passages(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "eval_items"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``first_id, id`` of each copy of an earlier record."""
     return canonical_ledger.copies(_table(spark, sf_dir, "extract_files"))
@@ -36,10 +42,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each record, with its number of copies; two batches merged one after the other."""
-    files = _table(spark, sf_dir, "extract_files")
-    early = F.col("repo_extraction_date").isNotNull()
-    ledger = canonical_ledger.survivors(files.where(early))
-    return canonical_ledger.survivors(files.where(~early), ledger).select("first_id", "copies")
+    return canonical_ledger.survivors(_table(spark, sf_dir, "extract_files"))
+
+
+def p3_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies where the order of fields and settings counts, by a ledger of three batches."""
+    return canonical_ledger.copies(_table(spark, sf_dir, "extract_files"), 3, ordered=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +65,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.garbled_files(_table(spark, sf_dir, "extract_files"))
 
 
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with their restored contents."""
+    return encoding_repair.restored_files(_table(spark, sf_dir, "extract_files"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id`` of files that are not valid in their language."""
     return syntax.invalid_files(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
@@ -82,10 +95,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_refs"))
 
 
+_P3_ORDERED = rf"""with k as (select id, regexp_replace(regexp_replace(lower(coalesce(extension, '')), '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g'), '^\.', '') as e, regexp_replace(lower(content), '[^\p{{L}}\p{{N}}]+', '', 'g') as t from extract_files),
+f as (select id, min(id) over (partition by e, t) as first_id from k where t <> '')
+select first_id, id from f where id <> first_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_spans, p3_found, p3_survivors, p4_found, p5_found, p6_found, p7_found, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p5_found, p6_found, p6_restored, p7_found, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_ordered": _P3_ORDERED}

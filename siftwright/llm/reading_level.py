@@ -11,8 +11,10 @@ Code blocks, inline code, links, headings and markup are left out of the words.
 
 Defined results: null texts, texts under ``least_words`` white-space separated
 words and texts in other languages are no cases.  A text that has that many
-words but no sentence outside code and markup is measured with all its words.
-Ranks of equally frequent words are equal.  Repeated texts get equal levels.
+words but no sentence outside code and markup is measured with all its words;
+one without any letter has measures of 0 and the level that is nearest to them.
+Equally frequent words enter the vocabulary together, so their rank is its size
+with all of them.  Repeated texts get equal levels.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -35,6 +37,8 @@ LEAST_WORDS = 20
 #: Shares of a text's words that the ranked vocabulary must cover.
 SHARES = (0.5, 0.8, 0.9)
 MEASURES = ("cover_0", "cover_1", "cover_2", "sentence", "letters")
+#: Levels that a scale may have.
+MOST_LEVELS = 100
 #: Least standard deviation of a measure, so that a level with equal samples still admits others.
 FLOOR = 0.05
 
@@ -77,7 +81,7 @@ def counted(text: str) -> tuple[Counter, float, float]:
 def word_counts(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``kind, id, sentence, letters, word, n`` of ``texts(kind, id, text)``: one row for each different word of a text, so that no text and no repeated word is shuffled.
 
-    Texts under ``least_words`` white-space separated words are left out, but for graded samples (kind 1).
+    A text without any has one row of a null word.  Texts under ``least_words`` white-space separated words are left out, but for graded samples (kind 1).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +93,7 @@ def word_counts(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     if not kind and len(text.split()) < least_words:
                         continue
                     counts, a, b = counted(text)
+                    counts = counts or {None: 0}
                     m = len(counts)
                     kinds += [kind] * m
                     ids += [i] * m
@@ -102,15 +107,28 @@ def word_counts(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def word_ranks(counts: DataFrame) -> DataFrame:
-    """``word, rank`` by descending frequency from ``counts(word, n)``; equals share a rank.
+    """``word, rank`` from ``counts(word, n)``: the size of the smallest vocabulary, in order of frequency, that has the word and all as frequent.
 
     The window runs over the histogram of frequencies, whose rows are at most
     the square root of twice the number of words in all texts, never over words.
     """
-    totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    totals = counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
     histogram = totals.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return totals.join(histogram.select("n", (before + 1).alias("rank")), "n").select("word", "rank")
+    size = F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return totals.join(histogram.select("n", size.alias("rank")), "n").select("word", "rank")
+
+
+def coverage(pairs: Column, shares: tuple[float, ...] = SHARES) -> tuple[Column, Column]:
+    """A text's words in all, to be named ``_total``, and for each share the least rank up to which the words of ``pairs(rank, n)``, a text's own, make up that share of it; 0 for a text without words."""
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), *[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(len(shares))])
+
+    def add(acc: Column, x: Column) -> Column:
+        # a share is reached by the first word at which the sum is no longer below it
+        hits = [F.when(acc["sum"] < F.lit(s) * F.col("_total"), x["rank"]).otherwise(acc[f"c{k}"]).alias(f"c{k}") for k, s in enumerate(shares)]
+        return F.struct((acc["sum"] + x["n"]).alias("sum"), *hits)
+
+    return total, F.aggregate(F.sort_array(pairs), start, add)
 
 
 def measures(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -118,13 +136,17 @@ def measures(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     A word that is in most texts is a hot key of the join with the ranks.  Spark
     broadcasts the ranks where it measures them to be small; else adaptive
-    execution splits the hot partitions.
+    execution splits the hot partitions.  A text's different words come together
+    as pairs of numbers, as they did in its own row.
     """
     # word counts feed the ranks and the texts' own measures, and those the calibration and the cases
     words = checkpointed(word_counts(texts, least_words))
-    ranked = words.join(word_ranks(words), "word")
-    cover = ranked.groupBy("kind", "id", "sentence", "letters").agg(F.percentile(F.col("rank").cast("double"), F.array(*map(F.lit, SHARES)), F.col("n")).alias("c"))
-    return cover.select("kind", "id", *[F.log1p(F.col("c")[i]).alias(f"cover_{i}") for i in range(len(SHARES))], "sentence", "letters")
+    ranked = words.join(word_ranks(words), "word", "left")
+    pair = F.struct(F.coalesce("rank", F.lit(0)).cast("bigint").alias("rank"), "n")
+    own = ranked.groupBy("kind", "id").agg(F.collect_list(pair).alias("pairs"), F.first("sentence").alias("sentence"), F.first("letters").alias("letters"))
+    total, covered = coverage(F.col("pairs"))
+    ranks = own.withColumn("_total", total).withColumn("c", covered)
+    return ranks.select("kind", "id", *[F.log1p(F.col(f"c.c{i}").cast("double")).alias(f"cover_{i}") for i in range(len(SHARES))], "sentence", "letters")
 
 
 def calibrate(graded: DataFrame) -> DataFrame:
@@ -136,14 +158,19 @@ def calibrate(graded: DataFrame) -> DataFrame:
 def assign(measured: DataFrame, levels: DataFrame) -> DataFrame:
     """``id, level``: the level of the largest likelihood; of equals the first by name.
 
-    ``levels`` has one row a level: a fixed, small number of rows, so it is broadcast.
+    ``levels`` has one row a level, of which there are ``MOST_LEVELS`` at most; they become one array, a scalar of the plan, so that no join and no shuffle of texts is needed.
     """
-    miss = F.lit(0.0)
-    for m in MEASURES:
-        dev = F.greatest(F.col(f"dev_{m}"), F.lit(FLOOR))
-        miss = miss + F.pow((F.col(m) - F.col(f"mean_{m}")) / dev, 2) + 2 * F.log(dev)
-    pairs = measured.join(F.broadcast(levels), F.lit(True)).select("id", F.struct(miss.alias("miss"), "level").alias("s"))
-    return pairs.groupBy("id").agg(F.min("s")["level"].alias("level"))
+    rows = F.collect_list(F.struct("level", *[c for m in MEASURES for c in (f"mean_{m}", f"dev_{m}")]))
+    every = levels.where(F.col("level").isNotNull()).agg(rows.alias("levels")).scalar()
+
+    def scored(level: Column) -> Column:
+        miss = F.lit(0.0)
+        for m in MEASURES:
+            dev = F.greatest(level[f"dev_{m}"], F.lit(FLOOR))
+            miss = miss + F.pow((F.col(m) - level[f"mean_{m}"]) / dev, 2) + 2 * F.log(dev)
+        return F.struct(miss.alias("miss"), level["level"].alias("level"))
+
+    return measured.withColumn("_levels", every).select("id", F.array_min(F.transform("_levels", scored))["level"].alias("level"))
 
 
 def reading_levels(documents: DataFrame, references: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -151,6 +178,8 @@ def reading_levels(documents: DataFrame, references: DataFrame, least_words: int
     cases = documents.where(F.col("source").isin(*PROSE_SOURCES) & F.lower("lang").rlike(ENGLISH) & F.col("text").isNotNull())
     graded = references.where(F.col("text").isNotNull() & F.col("level").isNotNull())
     texts = cases.select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(graded.select(F.lit(1).alias("kind"), F.col("ref_id").alias("id"), "text"))
+    if graded.select("level").distinct().limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels")
     measured = measures(texts, least_words)
     samples = measured.where(F.col("kind") == 1).join(graded.select(F.col("ref_id").alias("id"), "level"), "id")
     return assign(measured.where(F.col("kind") == 0), calibrate(samples)).select(F.col("id").alias("doc_id"), "level")

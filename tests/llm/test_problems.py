@@ -121,11 +121,37 @@ def test_copies(spark):
     ]
     frame = files(spark, rows)
     assert {(r.first_id, r.id) for r in canonical_ledger.copies(frame).collect()} == {(2, 5), (1, 7), (10, 11), (12, 13), (16, 17)}
-    once = {(r.first_id, r.copies) for r in canonical_ledger.survivors(frame).collect()}
-    ledger = canonical_ledger.survivors(frame.where("id % 2 = 0"))
-    twice = {(r.first_id, r.copies) for r in canonical_ledger.survivors(frame.where("id % 2 = 1"), ledger).collect()}
-    assert once == twice and sum(n for _, n in once) == 12
+    once = {(r.first_id, r.copies) for r in canonical_ledger.survivors(frame, 1).collect()}
+    for batches in (2, 5):
+        assert {(r.first_id, r.copies) for r in canonical_ledger.survivors(frame, batches).collect()} == once and sum(n for _, n in once) == 12
+        assert {(r.first_id, r.id) for r in canonical_ledger.copies(frame, batches).collect()} == {(2, 5), (1, 7), (10, 11), (12, 13), (16, 17)}
     assert canonical_ledger.copies(frame.limit(0)).count() == 0
+    plan = canonical_ledger.copies(frame)
+    plan.collect()
+    assert "FullOuter" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stored_ledger_takes_batches(spark, tmp_path):
+    rows = [(k, "x", f"text {k % 7}", "o/r", "py") for k in range(60)]
+    path = str(tmp_path / "ledger")
+    for batch in (rows[20:40], rows[:20], rows[40:], []):
+        canonical_ledger.add_batch(path, files(spark, batch))
+    ledger = canonical_ledger.read_ledger(spark, path)
+    assert {(r.first_id, r.copies) for r in ledger.collect()} == {(k, len(range(k, 60, 7))) for k in range(7)}
+    folders = {p.name for p in (tmp_path / "ledger").glob("bucket=*")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "ledger").glob("bucket=*/*.parquet")}
+    one = files(spark, [(99, "x", "text 3", "o/r", "py")])
+    canonical_ledger.add_batch(path, one)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "ledger").glob("bucket=*/*.parquet")}
+    # only the bucket that the batch touches is written again
+    assert len(folders) > 1 and len({p.parent for p in set(before) - set(after)}) == 1
+    assert {r.copies for r in canonical_ledger.read_ledger(spark, path).where("first_id = 3").collect()} == {10}
+
+
+@pytest.mark.parametrize(("a", "b"), [('{"a": TRUE, "b": [1, 2],}', '{"b":[1,2], "A": true}'), ('{"k": "a, {b}", "l": 1', '{"l": 1, "k": "A{B}"}'), ("[1, {\"x\": 2, \"y\": 3}]", "[1,{\"y\":3,\"x\":2}]")])
+def test_json_in_any_order(a, b):
+    assert canonical_ledger.canonical_json(a) == canonical_ledger.canonical_json(b)
+    assert canonical_ledger.canonical_json("[1, 2]") != canonical_ledger.canonical_json("[2, 1]")
 
 
 # ---------------------------------------------------------------- 4
@@ -375,4 +401,37 @@ def test_levels_on_held_out_samples(spark):
 
 def test_coverage_rank_against_counting(spark):
     words = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("a", 1), ("d", 1)], "word string, n bigint")
-    assert {r.word: r.rank for r in reading_level.word_ranks(words).collect()} == {"a": 1, "b": 2, "c": 2, "d": 4}
+    assert {r.word: r.rank for r in reading_level.word_ranks(words).collect()} == {"a": 1, "b": 3, "c": 3, "d": 4}
+
+
+def test_smallest_vocabulary_that_covers(spark):
+    rng = random.Random(8)
+    texts = [[(rank, rng.randint(1, 9)) for rank in rng.sample(range(1, 60), rng.randint(1, 20))] for _ in range(60)] + [[(0, 0)]]
+    frame = spark.createDataFrame([(t,) for t in texts], "pairs array<struct<rank: bigint, n: bigint>>")
+    total, covered = reading_level.coverage(F.col("pairs"))
+    got = [tuple(r.c)[1:] for r in frame.withColumn("_total", total).select(covered.alias("c")).collect()]
+    for t, c in zip(texts, got):
+        words = sum(n for _, n in t)
+        assert c == tuple(next((r for r in sorted(r for r, _ in t) if sum(n for q, n in t if q <= r) >= s * words), 0) for s in reading_level.SHARES)
+
+
+def test_texts_without_letters_have_a_level(spark):
+    refs = spark.createDataFrame([(k, "plain words here. " * 9, "basic") for k in range(3)] + [(9, "considerable terminology throughout everything. " * 9, "expert")], "ref_id bigint, text string, level string")
+    frame = spark.createDataFrame([(1, "12 34 " * 15, "en", "readme")], "doc_id bigint, text string, lang string, source string")
+    assert [r.doc_id for r in reading_level.reading_levels(frame, refs).collect()] == [1]
+
+
+def test_spans_of_several_items_are_merged(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words[:40])), (2, " ".join(words[20:60]))], "item_id bigint, text string")
+    rows = [(1, "a", "before " + " ".join(words) + " after"), (2, "a", "nothing"), (3, "a", None)]
+    got = leakage.without_passages(files(spark, rows), items, mark="|").collect()
+    assert [(r.id, r["items"], len(r.spans), r.content) for r in got] == [(1, [1, 2], 1, "before | after")]
+    assert leakage.merged([[5, 9], [0, 3], [8, 12], [3, 4]]) == [[0, 4], [5, 12]]
+
+
+def test_restored_texts(spark):
+    text = "Привет, мир: déjà vu"
+    twice = text.encode().decode("latin-1").encode().decode("latin-1")
+    rows = [(1, "a", twice), (2, "a", text), (3, "a", "plain"), (4, "a", None), (5, "a", "caf\ufffd au lait")]
+    assert {r.id: r.restored for r in encoding_repair.restored_files(files(spark, rows)).collect()} == {1: text, 5: None}
