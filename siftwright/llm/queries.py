@@ -75,6 +75,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_files(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those files with the number of edits they need and the kind of fault."""
+    return syntax.faulty_files(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
+
+
 def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, invalid files and their rate for each repository and language."""
     return syntax.fault_rates(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "langs_extension"))
@@ -101,7 +106,7 @@ select first_id, id from f where id <> first_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p5_found, p6_found, p6_restored, p7_found, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 

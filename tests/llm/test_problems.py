@@ -315,6 +315,51 @@ def test_long_lists(language, head, element, tail):
         assert syntax.edits(language, f"{head}{text}, = , {text}{tail}")[0] > 0
 
 
+@pytest.mark.parametrize(
+    ("language", "text", "piece", "broken"),
+    [
+        ("JavaScript", "p" + ".then(function (x) { return x + 1; })" * 50 + ";", "(function", "(= function"),
+        ("JavaScript", "var a = " + "x ? 'v' : " * 500 + "0;", "? 'v'", "? = 'v'"),
+        ("JavaScript", "var s = " + " + ".join(["function (q) { return q; }(1)"] * 150) + ";", "+ function", "+ = function"),
+        ("JavaScript", "f(" + ", ".join(["g(1, h.k[2])"] * 10000) + ");", "1, h", "1, = h"),
+        ("Java", "class A { int f() { return " + "x ? 1 : " * 500 + "0; } }", "? 1", "? = 1"),
+        ("Java", "class A { void f() { b" + ".append(g(1), x -> x + 1)" * 50 + "; } }", "g(1)", "= g(1)"),
+        ("C", "int a[] = {" + ", ".join(["G(1)"] * 10000) + "};", "G", "= G"),
+        ("C", "int f(void) { return " + "x ? 1 : " * 500 + "0; }", "? 1", "? = 1"),
+        ("Go", "package a\nvar x = []T{" + ", ".join(["f(1)"] * 10000) + "}\n", "f(1)", "= = f(1)"),
+        ("Ruby", "x = [" + ", ".join(["f(1)"] * 10000) + "]\n", "f", "* / f"),
+        ("Python", "x = " + " if a else ".join(["f(1)"] * 500) + "\n", "f(1)", "= f(1)"),
+        ("SQL", "insert into t values " + ", ".join(["(1, f(2))"] * 3000) + ";", "f", "(, f"),
+        ("NewLisp", "(a " + "'(b 1) " * 10000 + ")", "'(b 1)", "(b ')"),
+    ],
+)
+def test_long_valid_statements_cost_nothing(language, text, piece, broken):
+    assert syntax.edits(language, text) == (0, None)
+    at = text.index(piece, len(text) // 2)
+    assert syntax.edits(language, text[:at] + broken + text[at + len(piece) :])[0] > 0
+
+
+def test_least_edits_against_brute_force():
+    g = chart.Grammar("S = E ';' | 'x' E\nE = T (o T)*\nT = n | '(' E (',' E)* ')' | i '[' E? ']' | '-' T", ("S",), {})
+    letters, rng = ";xon(),i[]-", random.Random(2)
+
+    def least(s):
+        seen = now = {s}
+        for edits in range(3):
+            if edits == 2 or any(map(g.accepts, now)):
+                return edits if any(map(g.accepts, now)) else 3
+            now = {t[:k] + a + t[k + d :] for t in now for k in range(len(t) + 1) for d in (0, 1) for a in ("", *letters)} - seen
+            seen = seen | now
+
+    valid = ["non;", "x-n", "(n,n)on;", "i[non];", "x(-n)", "i[]oi[n];"]
+    for _ in range(150):
+        s = rng.choice(valid) if rng.random() < 0.6 else ""
+        for _ in range(rng.randint(0, 3) if s else rng.randint(0, 6)):
+            k = rng.randint(0, len(s))
+            s = s[:k] + rng.choice([*letters, "q", ""]) + s[k + rng.randint(0, 1) :]
+        assert g.cost(s) == least(s), s
+
+
 def test_parsed(spark):
     ext = spark.createDataFrame([(0, "Python", [".py"]), (1, "Markdown", [".md"]), (2, "JSON", [".json"]), (3, "X", None)], "ordinal int, name string, extensions array<string>")
     rows = [(1, "a/x.py", "x = (1", "o/r", ".py"), (2, "a/y.py", "x = 1", "o/r", " PY"), (3, "a/z.json", "{", "o/r", None), (4, "a/m.md", "((", "o/r", ".md"), (5, "a/n.py", None, "o/r", ".py"), (6, "a/n.py", " \n", "o/r", ".py"), (7, None, "x", "o/r", None)]
