@@ -55,6 +55,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(_table(spark, sf_dir, "extract_files"))
 
 
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place of a credential with its score, and whether a pattern alone would have known it."""
+    return credentials.scored_credentials(_table(spark, sf_dir, "extract_files"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with credentials, redacted."""
+    return credentials.redacted_files(_table(spark, sf_dir, "extract_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scope, subject, spdx_id, verdict`` of files and repositories."""
     return licenses.license_verdicts(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "license_refs"))
@@ -106,7 +116,7 @@ select first_id, id from f where id <> first_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 
