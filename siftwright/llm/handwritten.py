@@ -1,18 +1,28 @@
 """Problem 1: generated, minified, vendored files and data blobs among source files.
 
 Vendored code: Merkle hashes are computed bottom-up over each repository's
-directory tree.  A directory's hash is the sum over its entries of name hash
-times entry hash, modulo two primes.  The recursion is linear, so a file's share
-in each directory above it follows from the names on its path, bottom-up within
-its row, and one sum gives all directories at once, partially added before the
-shuffle: neither a deep tree nor a hot directory costs a round or a task of its
-own.  A subtree (or a single file, under any name) that repositories of
-unrelated owners share is vendored wherever it lies, if in one of them it lies
-among other people's code or names its upstream project.  A shared directory of
-several files needs no such sign: it is vendored in each repository of which it
-is no more than half, as it would else be a fork or the project itself.
-
-Generated, minified and data files: rules on header, layout and path.
+directory tree.  A leaf is the hash of a file without its leading comment (the
+banner), white space, marks and letter case, so that layout and notices do not
+matter.  A directory's hash is the sum over its entries of the entry's hash,
+a vector, times a matrix that follows from the entry's name.  Matrices do not
+commute, so the order of names on a path counts; the recursion is linear, so a
+file's share in each directory above it follows from the names on its path,
+bottom-up within its row, and one sum gives all directories at once, partially
+added before the shuffle: neither a deep tree nor a hot directory costs a round
+or a task of its own.
+
+A subtree that repositories of unrelated owners share, under whatever name, is
+vendored wherever it lies: a directory of several files where it is no more than half of its
+repository (else it is a fork or the project itself); a single file, under any
+name, if one of its copies lies among other people's code or is called after a
+component.  Components are learned, too: directories right below those that
+hold other people's code, in repositories of unrelated owners.  A file whose
+path and leading comment both name a component, which its repository's name
+does not, is another version of it.
+
+Generated, minified and data files: rules on header, layout and path.  The
+generators' names are learned from unmistakable headers; a leading comment that
+names one as the source of the file is enough then.
 
 No file has two kinds; of several the first of minified, data, generated,
 vendored holds.
@@ -24,6 +34,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -49,38 +60,37 @@ _SAYS = "|".join([
     r"(?:This file (?:was|is) )?(?:auto-?matically |machine-)generated\b",
     r"Generated (?:from|by) (?:the )?[\w./-]+(?: (?:on|at|v?\d|using|with)\b|\.|$)",
     r"Do not (?:modify|edit|change)(?: this file)?(?: by hand)?\s?[:;-].*(?:rebuilt|generated|overwritten|regenerated)",
-    r"(?:\w+:\s*)?begin of derived source",
-    r"Output of [`'\"\w]",
     r"machine[- ](?:written|generated|made)\b",
 ])
 HEADER = rf"(?im)^[ \t]*(?:(?:[#/*;%!-]+|\"\"\"|'''|<!--|REM\b|=begin)[ \t]*)?(?:{_SAYS})"
 
-#: Banners that name the upstream project of a bundled copy; the name is the group.
-BANNER = r"(?im)^[ \t]*(?:(?:[#/*;%!-]+|\"\"\")[ \t]*)?(?:Part of the ([\w.-]+) library, bundled|Taken unchanged from ([\w.-]+)|Imported from ([\w.-]+) at|Vendored from ([\w.-]+)|Copied (?:verbatim |unchanged )?from ([\w.-]+)|([\w.-]+) v?\d+(?:\.\d+)+ - upstream\b)"
-
-
-
-#: Moduli of the two hashes: a product of two residues fits a bigint.
-PRIMES = (2147483647, 2147483629)
+#: Modulus of the hashes: the sum of two products of residues fits a bigint.
+PRIME = 2147483647
 
 _HEADER = re.compile(HEADER)
-_BANNER = re.compile(BANNER)
-_VENDOR = re.compile(rf"(?i)(?:^|/)(?:{VENDOR_DIRS})/(?:@[^/]+/)?[^/]+/")
+_VENDOR = re.compile(rf"(?i)(?:^|/)(?:{VENDOR_DIRS})/(?:@[^/]+/|(?:src|lib)/)?([^/]+)/")
 _GENERATED_PATH = re.compile(rf"(?i)(?:^|/)(?:{GENERATED_DIRS})/|{GENERATED_NAMES}")
 _MINIFIED_PATH = re.compile(rf"(?i){MINIFIED_NAMES}")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
+_DROPPED = re.compile(r"[\W_]+")
 _LEAD = re.compile(r"\s*(?:/\*.*?\*/|//[^\n]*\n|#[^\n]*\n|--[^\n]*\n)\s*", re.S)
 _NUMBERS = re.compile(r"(?:\b(?:0[xX][0-9A-Fa-f]{1,16}|\d{1,6}(?:\.\d+)?)[uUlL]{0,2}(?:[\])} ]{0,6}[,;][\[({ -]{0,6}| -?)){24,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{200,}|(?:[\"'][A-Za-z0-9+/=_-]{40,}[\"'][\s+,\\.]*){4,}|(?:\\x[0-9A-Fa-f]{2}){40,}")
-#: Quoted values that count upwards within a name of their own: the layout of a generated table.
-_COUNTED = re.compile(r"\d+['\"]?\s*(?:,|=>|:=|=|:|\s)\s*['\"]([A-Za-z_]+)/(\d+)/[A-Za-z_]+['\"]")
+#: Lines of one shape in which a number counts upwards, one after the other: the layout of a generated table.
 LEAST_COUNTED = 8
+_FIRST_NUMBER = re.compile(r"\d{1,9}")
+_LETTERS = re.compile(r"[^\W_]+")
 #: A statement that begins right where another ends.
 _JOINED = re.compile(r"[;}](?=[A-Za-z_$(])")
-#: Every header and banner has one of these words.
-_HEADER_HINTS = ("generated", "do not", "derived source", "output of", "machine", "file ")
-_BANNER_HINTS = ("upstream", "library, bundled", "aken unchanged from", "mported from", "endored from", "opied ")
+#: Every header has one of these words.
+_HEADER_HINTS = ("generated", "do not", "machine", "file ")
+#: The comments that a file begins with.
+_LEADING = re.compile(r"(?:\s*(?:/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''|<!--.*?-->|=begin\b.*?\n=end\b[^\n]*|(?://|#|--|;|%)[^\n]*(?:\n|\Z)))+", re.S)
+#: What a header says made the file, and what a comment may name as its source in other words.
+_MADE_BY = re.compile(r"(?i)(?:generated|produced|created|written|compiled|emitted|built)\s+(?:automatically\s+|mechanically\s+)?(?:by|with|using)\s+(?:the\s+)?[`'\"]?([a-z][\w.+-]{2,40})")
+_SOURCE = re.compile(r"(?i)(?:\b(?:by|from|of|with|using)\s+(?:the\s+)?[`'\"]?([a-z][\w.+-]{2,40})|^[ \t]*(?:[#/*;%!-]+[ \t]*)?([a-z][\w.+-]{2,40})[ \t]*:)", re.M)
+_NAME = re.compile(r"[a-z][a-z0-9]{2,}")
 
 
 def is_minified(content: str, path: str) -> bool:
@@ -120,16 +130,27 @@ def is_data(content: str) -> bool:
     return 2 * blob > n
 
 
+def counts_up(content: str) -> bool:
+    """A run of lines that are alike but for letters and digits, the first number one more from each to the next, and texts that repeat it."""
+    run, before, shape = 0, 0, ""
+    for line in content.split("\n"):
+        m = _FIRST_NUMBER.search(line)
+        if not m or line.count(m.group()) < 2:
+            run = 0
+            continue
+        now, own = int(m.group()), _LETTERS.sub("a", line)
+        run = run + 1 if run and own == shape and now == before + 1 else 1
+        if run >= LEAST_COUNTED:
+            return True
+        before, shape = now, own
+    return False
+
+
 def is_generated(content: str, path: str) -> bool:
     if _GENERATED_PATH.search(path):
         return True
     low = content.lower()
-    if any(hint in low for hint in _HEADER_HINTS) and _HEADER.search(content):
-        return True
-    if content.count("/") < 2 * LEAST_COUNTED:
-        return False
-    counted = _COUNTED.findall(content)
-    return len(counted) >= LEAST_COUNTED and len({name for name, _ in counted}) == 1 and [int(k) for _, k in counted] == list(range(len(counted)))
+    return any(hint in low for hint in _HEADER_HINTS) and bool(_HEADER.search(content)) or counts_up(content)
 
 
 def own_kind(content: str, path: str) -> str | None:
@@ -141,88 +162,118 @@ def own_kind(content: str, path: str) -> str | None:
     return "generated" if is_generated(content, path) else None
 
 
-def names_upstream(content: str, repo_name: str) -> bool:
-    """A banner names a project that is not the repository's own."""
-    if not any(hint in content for hint in _BANNER_HINTS):
-        return False
-    own = re.split(r"[^a-z0-9]+", repo_name.lower())
-    return any(next(filter(None, m.groups())).lower() not in own for m in _BANNER.finditer(content))
-
-
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        kinds, vendored = [], []
-        for repo, path, content in zip(pdf["repo_name"], pdf["path"], pdf["content"]):
-            kinds.append(own_kind(content, path))
-            vendored.append(bool(_VENDOR.search(path)) or names_upstream(content, repo or ""))
-        yield pdf[["id", "repo_name", "path", "hash"]].assign(kind=pd.Series(kinds, dtype="object", index=pdf.index), vendored=vendored)
+        out = []
+        for i, repo, path, content in zip(pdf["id"], pdf["repo_name"], pdf["path"], pdf["content"]):
+            lead = m.group() if (m := _LEADING.match(content)) else ""
+            body = _DROPPED.sub("", content[len(lead) :].lower())
+            # a file of comments only is its comments
+            leaf = int.from_bytes(hashlib.blake2b((body or _DROPPED.sub("", lead.lower())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            below = _VENDOR.search(path)
+            said = set(_NAME.findall(lead.lower()))
+            own = set(_NAME.findall((repo or "").lower()))
+            named = sorted(said & set(_NAME.findall(path.lower())) - own) if lead else []
+            made = [x.lower().rstrip(".") for x in _MADE_BY.findall(lead)] if lead else []
+            sources = sorted({x.lower().rstrip(".") for pair in _SOURCE.findall(lead) for x in pair if x}) if lead else []
+            out.append((i, repo, path, leaf, own_kind(content, path), below is not None, below[1].lower() if below else None, named, made, sources))
+        yield pd.DataFrame(out, columns=["id", "repo_name", "path", "hash", "kind", "below", "component", "named", "made_by", "sources"])
+
+
+_JUDGED = "id bigint, repo_name string, path string, hash bigint, kind string, below boolean, component string, named array<string>, made_by array<string>, sources array<string>"
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """``id, repo_name, path, hash, kind, vendored`` of each file with content: what it shows by itself, and a hash of its content."""
+    """What each file with content shows by itself: its kind, whether it lies below other people's code and in which component, the names that its path and leading comment share, what made it, and its leaf."""
     path = F.coalesce("file_path", "file_name", F.lit(""))
     # the first part of a path is the repository's own folder
     inner = F.when(path.contains("/"), F.regexp_replace(path, r"^[^/]*/", "")).otherwise(path)
-    rows = files.where(F.col("content").rlike(r"\S")).select("id", "repo_name", inner.alias("path"), F.xxhash64("content").alias("hash"), "content")
-    return rows.mapInPandas(_batches, "id bigint, repo_name string, path string, hash bigint, kind string, vendored boolean")
+    rows = files.where(F.col("content").rlike(r"\S")).select("id", "repo_name", inner.alias("path"), "content")
+    return rows.mapInPandas(_batches, _JUDGED)
+
+
+def _owner() -> Column:
+    return F.lower(F.substring_index("repo_name", "/", 1))
 
 
-def _residue(x: Column, prime: int) -> Column:
-    return F.pmod(x, F.lit(prime))
+def _of_unrelated(rows: DataFrame, name: str) -> DataFrame:
+    """Values of a column that repositories of unrelated owners have."""
+    found = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(_owner()).alias("a"), F.max(_owner()).alias("b"))
+    return found.where(F.col("a") != F.col("b")).select(name)
+
+
+def _residue(x: Column) -> Column:
+    return F.pmod(x, F.lit(PRIME))
 
 
 def shares(path: Column, leaf: Column) -> Column:
     """A file's own hash, then its share in the hash of its entry (by name) and of each directory above it, bottom-up."""
     parts = F.split(path, "/")
-    n = F.size(parts)
-    start = F.struct(F.lit(0).alias("up"), *[_residue(leaf, p).alias(f"h{k}") for k, p in enumerate(PRIMES)])
-    steps = F.sequence(F.lit(1), n)
+    start = F.struct(F.lit(0).alias("up"), _residue(leaf).alias("h0"), _residue(F.xxhash64(leaf)).alias("h1"))
 
     def climb(acc: Column, up: Column) -> Column:
-        name = F.xxhash64(F.element_at(parts, -up))
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.struct(up.alias("up"), *[_residue(last[f"h{k}"] * (_residue(name, p - 1) + 1), p).alias(f"h{k}") for k, p in enumerate(PRIMES)])))
+        name, last = F.element_at(parts, -up), F.element_at(acc, -1)
+        m = [_residue(F.xxhash64(name, F.lit(k))) for k in range(4)]
+        step = F.struct(up.alias("up"), _residue(m[0] * last["h0"] + m[1] * last["h1"]).alias("h0"), _residue(m[2] * last["h0"] + m[3] * last["h1"]).alias("h1"))
+        return F.concat(acc, F.array(step))
 
-    return F.aggregate(steps, F.array(start), climb)
+    return F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.array(start), climb)
 
 
 def merkle_nodes(leaves: DataFrame) -> DataFrame:
-    """``repo_name, dir, h0, h1, leaves, vendored``: the hash of every file (under any name) and directory of each repository.
+    """``repo_name, dir, h0, h1, leaves, foreign``: the hash of every file (under any name) and directory of each repository.
 
-    ``leaves`` has ``repo_name, path, hash, vendored``; a path extracted twice with one content counts once.
+    ``leaves`` has ``repo_name, path, hash, foreign``; a path extracted twice with one content counts once.
     A file's own node has its path as ``dir``.
     """
-    once = leaves.groupBy("repo_name", "path", "hash").agg(F.max("vendored").alias("vendored"))
-    # names count within directories only: a file's own hash, and the shares from its directory on
-    ways = F.filter(shares(F.col("path"), F.col("hash")), lambda s: s["up"] != 1)
-    climbed = once.select("repo_name", "path", "vendored", F.explode(ways).alias("s"))
-    # the node reached after `up` names: the path without its last up - 1 parts; the root is left out
+    once = leaves.groupBy("repo_name", "path", "hash").agg(F.max("foreign").alias("foreign"))
+    # a node's own name does not count: a file's hash is its leaf, and a directory's holds the names below it; the root is left out
+    ways = F.filter(shares(F.col("path"), F.col("hash")), lambda s: s["up"] < F.size(F.split("path", "/")))
+    climbed = once.select("repo_name", "path", "foreign", F.explode(ways).alias("s"))
+    # the node above `up` names: the path without its last `up` parts
     parts = F.split("path", "/")
-    node = F.array_join(F.slice(parts, 1, F.size(parts) - F.greatest(F.col("s.up") - 1, F.lit(0))), "/")
-    nodes = climbed.select("repo_name", node.alias("dir"), "s.h0", "s.h1", "vendored")
-    sums = nodes.groupBy("repo_name", "dir").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.count(F.lit(1)).alias("leaves"), F.max("vendored").alias("vendored"))
-    return sums.select("repo_name", "dir", _residue(F.col("h0"), PRIMES[0]).alias("h0"), _residue(F.col("h1"), PRIMES[1]).alias("h1"), "leaves", "vendored")
+    node = F.array_join(F.slice(parts, 1, F.size(parts) - F.col("s.up")), "/")
+    nodes = climbed.select("repo_name", node.alias("dir"), "s.h0", "s.h1", "foreign")
+    sums = nodes.groupBy("repo_name", "dir").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.count(F.lit(1)).alias("leaves"), F.max("foreign").alias("foreign"))
+    return sums.select("repo_name", "dir", _residue(F.col("h0")).alias("h0"), _residue(F.col("h1")).alias("h1"), "leaves", "foreign")
 
 
 def shared_subtrees(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     """``repo_name, dir`` of the nodes that unrelated owners share and that are another project's: one of them shows it, or it is a directory of several files and no more than half of ``sizes(repo_name, files)``."""
-    owner = F.lower(F.substring_index("repo_name", "/", 1))
-    same = nodes.groupBy("h0", "h1", "leaves").agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.max("vendored").alias("v"))
+    same = nodes.groupBy("h0", "h1", "leaves").agg(F.min(_owner()).alias("a"), F.max(_owner()).alias("b"), F.max("foreign").alias("v"))
     shared = nodes.select("repo_name", "dir", "h0", "h1", "leaves").join(same.where((F.col("a") != F.col("b")) & (F.col("v") | (F.col("leaves") > 1))).select("h0", "h1", "leaves", "v"), ["h0", "h1", "leaves"])
     return shared.join(sizes, "repo_name").where(F.col("v") | (2 * F.col("leaves") <= F.col("files"))).select("repo_name", "dir")
 
 
-def not_handwritten(files: DataFrame) -> DataFrame:
-    """``id, kind`` of each file that is not hand-written source."""
-    # what the rules say, without the contents, is used four times below
+def with_evidence(files: DataFrame) -> DataFrame:
+    """``id, kind, evidence`` of each file that is not hand-written source: ``rules``, a learned ``generator``, a shared ``subtree``, a learned ``component`` or a ``directory`` of other people's code."""
+    # what the rules say, without the contents, is used several times below
     rows = checkpointed(judged(files))
-    candidates = rows.where(F.col("kind").isNull())
-    sizes = candidates.select("repo_name", "path", "hash").distinct().groupBy("repo_name").agg(F.count(F.lit(1)).alias("files"))
-    marked = shared_subtrees(merkle_nodes(candidates), sizes)
+    shown = rows.where(F.col("kind").isNotNull()).select("id", "kind", F.lit("rules").alias("evidence"))
+    open_ = rows.where(F.col("kind").isNull())
+    # names that join: only those of unrelated owners, and few a file
+    makers = _of_unrelated(rows.where(F.col("kind") == "generated").select("repo_name", F.explode("made_by").alias("source")), "source")
+    made = open_.select("id", F.explode("sources").alias("source")).join(makers, "source", "left_semi").select("id").distinct()
+    components = _of_unrelated(open_.select("repo_name", "component"), "component")
+    versions = open_.select("id", F.explode("named").alias("component")).join(components, "component", "left_semi").select("id").distinct()
+    marks = made.select("id", F.lit(1).alias("m")).unionByName(versions.select("id", F.lit(2).alias("m"))).groupBy("id").agg(F.min("m").alias("mark"))
+    marked = checkpointed(open_.select("id", "repo_name", "path", "hash", "below").join(marks, "id", "left"))
+    generated = marked.where(F.col("mark") == 1).select("id", F.lit("generated").alias("kind"), F.lit("generator").alias("evidence"))
+    # the tree is that of the files without another kind
+    tree = marked.where(F.coalesce("mark", F.lit(0)) != 1).select("id", "repo_name", "path", "hash", "below", F.coalesce(F.col("mark") == 2, F.lit(False)).alias("version"))
+    tree = tree.withColumn("foreign", F.col("below") | F.col("version"))
+    sizes = tree.select("repo_name", "path", "hash").distinct().groupBy("repo_name").agg(F.count(F.lit(1)).alias("files"))
+    subtrees = shared_subtrees(merkle_nodes(tree), sizes)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    # only files that do not show it themselves have to be looked up
-    unknown = candidates.where(~F.col("vendored")).select("id", "repo_name", F.explode(above).alias("dir"))
-    found = unknown.join(marked, ["repo_name", "dir"], "left_semi").select("id").distinct().select("id", F.lit("vendored").alias("kind"))
-    shown = rows.where(F.col("kind").isNotNull() | F.col("vendored")).select("id", F.coalesce("kind", F.lit("vendored")).alias("kind"))
-    return shown.unionByName(found)
+    held = tree.select("id", "repo_name", F.explode(above).alias("dir")).join(subtrees, ["repo_name", "dir"], "left_semi").select("id", F.lit("subtree").alias("evidence"))
+    told = tree.where("foreign").select("id", F.when(F.col("version"), "component").otherwise("directory").alias("evidence"))
+    # of several the firmest: subtree, component, directory
+    vendored = held.unionByName(told).groupBy("id").agg(F.max("evidence").alias("e"), F.min("evidence").alias("f"))
+    vendored = vendored.select("id", F.lit("vendored").alias("kind"), F.when(F.col("e") == "subtree", "subtree").otherwise(F.col("f")).alias("evidence"))
+    return shown.unionByName(generated).unionByName(vendored)
+
+
+def not_handwritten(files: DataFrame) -> DataFrame:
+    """``id, kind`` of each file that is not hand-written source."""
+    return with_evidence(files).select("id", "kind")

@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(_table(spark, sf_dir, "extract_files"))
 
 
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with what each row rests on."""
+    return handwritten.with_evidence(_table(spark, sf_dir, "extract_files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, item_id`` of files that hold a passage of an evaluation text."""
     return leakage.leaked_passages(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "eval_items")).select("id", "item_id")
@@ -116,7 +121,7 @@ select first_id, id from f where id <> first_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p1_evidence, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 

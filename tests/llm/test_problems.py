@@ -27,22 +27,25 @@ def files(spark, rows):
 # ---------------------------------------------------------------- 1
 def test_kinds(spark):
     code = "def f(x):\n    return x + 1\n" * 20
-    lib = "# Part of the tinylib library, bundled copy\nimport os\n" + code
+    lib = "# tinylib 3, see its own pages\nimport re\n" + code.replace("1", "2")
     plain_lib = "import os\n" + code + "# plain\n"
     rows = [
         (1, "r/src/a.py", code), (2, "r/src/b.py", "# Code generated by x v1. DO NOT EDIT.\n" + code), (3, "r/src/w.py", 'BANNER = "Code generated by %s. DO NOT EDIT."\n' + code),
         (4, "r/js/a.min.js", "!function(){" + "function a(b,c){return b?c-b:c.d(b)};" * 20 + "}();"), (5, "r/src/t.py", "x = [\n" + "    1, 22, 3, 4,\n" * 80 + "]\n"), (6, "r/vendor/q/lib/q.py", code),
-        (7, "r/lib/x.py", lib), (8, "r/gen-src/z.py", code), (9, "r/src/n.py", None), (10, "r/src/e.py", "  \n"), (11, None, code),
-        (12, "p/third_party/zed/zed.py", plain_lib, "one/p"), (13, "q/src/zed.py", plain_lib, "two/q"), (14, "q/src/other.py", code + "#", "two/q"), (1, "r/src/a.py", code),
+        (7, "r/lib/tinylib_util.py", lib), (15, "r/lib/util.py", lib.replace("re", "sys")), (16, "r/lib/tinylib_notes.py", "import tinylib\n" + code.replace("1", "3")), (17, "v/vendor/tinylib/a.py", "import json\n" + code, "five/v"), (18, "w/deps/tinylib/b.py", "import csv\n" + code, "six/w"), (19, "t/tinylib/c.py", lib.replace("2", "4"), "me/tinylib"), (8, "r/gen-src/z.py", code), (9, "r/src/n.py", None), (10, "r/src/e.py", "  \n"), (11, None, code),
+        (12, "p/third_party/zed/zed.py", plain_lib, "one/p"), (13, "q/src/zed.py", plain_lib, "two/q"), (14, "q/src/other.py", code.replace("f(x)", "g(x)"), "two/q"), (20, "r/a/k.py", "".join(f'ROW_{k} = "row/{k}/x"\n' for k in range(12))), (21, "r/a/m.py", "".join(f"ROW_{k} = {k * k}\n" for k in range(12))),
+        (22, "r/a/g.py", "# made from shapes with makergen: do not worry\n" + code.replace("1", "6")), (23, "x/g.py", "# Code generated by makergen v2. DO NOT EDIT.\n" + code, "seven/x"), (24, "y/g.py", "# Code generated by makergen v3. DO NOT EDIT.\n" + code, "eight/y"), (1, "r/src/a.py", code),
     ]
     got = {r.id: r.kind for r in handwritten.not_handwritten(files(spark, rows)).collect()}
-    assert got == {2: "generated", 4: "minified", 5: "data", 6: "vendored", 7: "vendored", 8: "generated", 12: "vendored", 13: "vendored"}
+    assert got == {2: "generated", 4: "minified", 5: "data", 6: "vendored", 7: "vendored", 8: "generated", 12: "vendored", 13: "vendored", 17: "vendored", 18: "vendored", 20: "generated", 22: "generated", 23: "generated", 24: "generated"}
+    evidence = {r.id: r.evidence for r in handwritten.with_evidence(files(spark, rows)).collect()}
+    assert [evidence[k] for k in (2, 6, 7, 12, 13, 17, 22)] == ["rules", "directory", "component", "subtree", "subtree", "directory", "generator"]
     assert handwritten.not_handwritten(files(spark, rows).limit(0)).count() == 0
 
 
 def test_shared_subtrees_decide_by_themselves(spark):
     a, b, c = ("def f(x):\n    return x + %d\n" % k * 20 for k in range(3))
-    own = [(20 + k, f"r/src/own{k}.py", a + "#" * (k + 1), repo) for k, repo in enumerate(["one/p"] * 3 + ["two/q"] * 3 + ["five/u"] * 3)]
+    own = [(20 + k, f"r/src/own{k}.py", a + f"# {k}" * (k + 1), repo) for k, repo in enumerate(["one/p"] * 3 + ["two/q"] * 3 + ["five/u"] * 3)]
     rows = [
         (1, "p/lib/zed/one.py", a, "one/p"), (2, "p/lib/zed/sub/two.py", b, "one/p"), (3, "q/util/zed/one.py", a, "two/q"), (4, "q/util/zed/sub/two.py", b, "two/q"),
         # the project itself; a single file is no evidence
@@ -55,12 +58,14 @@ def test_shared_subtrees_decide_by_themselves(spark):
 
 
 def test_merkle_nodes_do_not_depend_on_place(spark):
-    leaf = "repo_name string, path string, hash bigint, vendored boolean"
-    rows = [("a/x", "p/lib/one.c", 11, False), ("a/x", "p/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/one.c", 11, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("c/z", "lib/one.c", 11, False), ("c/z", "lib/sub/two.c", 23, False)]
+    leaf = "repo_name string, path string, hash bigint, foreign boolean"
+    rows = [("a/x", "p/lib/one.c", 11, False), ("a/x", "p/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/one.c", 11, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("b/y", "deep/q/lib/sub/two.c", 22, False), ("c/z", "lib/one.c", 11, False), ("c/z", "lib/sub/two.c", 23, False), ("d/w", "p/sub/lib/one.c", 11, False), ("d/w", "q/lib/sub/one.c", 11, False)]
     nodes = {(r.repo_name, r.dir): (r.h0, r.h1, r.leaves) for r in handwritten.merkle_nodes(spark.createDataFrame(rows, leaf)).collect()}
     assert nodes["a/x", "p/lib"][2] == 2 == nodes["b/y", "deep/q/lib"][2]
     assert nodes["a/x", "p/lib"] == nodes["b/y", "deep/q/lib"] != nodes["c/z", "lib"]
-    assert nodes["a/x", "p/lib/one.c"] == nodes["c/z", "lib/one.c"] and nodes["a/x", "p"] != nodes["b/y", "deep/q"]
+    assert nodes["a/x", "p/lib/one.c"] == nodes["c/z", "lib/one.c"] and nodes["a/x", "p"] == nodes["b/y", "deep/q"] != nodes["b/y", "deep"]
+    # the order of names on a path counts
+    assert nodes["d/w", "p"] != nodes["d/w", "q"] and nodes["d/w", "p/sub/lib"] == nodes["d/w", "q/lib/sub"] == nodes["d/w", "p/sub/lib"]
 
 
 # ---------------------------------------------------------------- 2
