@@ -3,17 +3,18 @@
 A multi-pattern automaton finds, in one pass over a file's words, the clauses of
 the known licences, their names in all spellings and the phrases that introduce
 a statement.  Ordered rules then decide: the clauses of a full text, of a short
-notice, an identifier or a sentence with a name (with versions, "or later" and
-several names joined by "or"/"and"), and last terms that fit no known licence.
-A name without such an introduction is a mere mention.
+notice, an identifier or a sentence with a name (with versions, "or later",
+several names joined by "or"/"and", and exceptions behind "with"), and last terms
+that fit no known licence.  A name without such an introduction is a mere mention.
 
-The known licences come from a reference table of fixed size, which the driver
+The known licences come from a reference table of checked size, which the driver
 reads; everything else is one scan and, for repositories, one small aggregation.
 
 Defined results: null, empty and blank contents state nothing.  A recorded
 licence that is null, empty, blank or NOASSERTION compares as unknown, and so
 does ``OTHER``.  Repeated rows are answered each; extra columns are ignored; a
-reference row with null texts is found by its names only.
+reference row with null texts is found by its names only.  A file named as a
+licence whose terms fit none consists of terms of its own, ``OTHER``.
 """
 
 from __future__ import annotations
@@ -49,22 +50,38 @@ PLAIN_NAMES = {
 }
 #: What introduces a statement; a licence's name must follow at once.
 CUES = (
-    "spdx license identifier", "@license", "pylicense", "jsonlicense",
-    "licensed under", "licensed under the terms of", "license under", "released under", "released under the terms of",
-    "distributed under", "distributed under the terms of", "pass it on under", "is covered by", "covered by", "available under",
-    "available under the terms of", "subject to the terms of", "published under", "provided under", "under the terms of",
-    "choose between", "dual licensed", "dual licensed under", "terms url", "license type",
+    "spdx license identifier", "@license", "pylicense", "jsonlicense", "license type", "terms url",
+    "under", "under the terms of", "under the terms and conditions of", "is covered by", "covered by", "governed by", "subject to the terms of",
+    "choose between", "dual licensed", "licensed as",
 )
 #: Cues after which an unknown name is a licence all the same.
 STRICT_CUES = ("spdx license identifier", "@license", "pylicense", "jsonlicense", "terms url")
-#: Terms of the owner's own.
+#: Terms that keep others out, in the words of such notices everywhere.
 OWN_TERMS = (
-    "proprietary and confidential", "no license is granted", "for internal use by", "for internal use only", "redistribution is not allowed",
-    "redistribution is prohibited", "may be used by members of", "customer terms", "unlicensed internal only", "jsonlicense unlicensed", "all rights reserved do not",
-    "licenseref", "see the house rules", "not licensed for redistribution",
+    "proprietary and confidential", "no license is granted", "no license granted", "for internal use by", "for internal use only", "redistribution is not allowed", "redistribution is not permitted",
+    "redistribution is prohibited", "redistribution prohibited", "distribution is prohibited", "jsonlicense unlicensed", "all rights reserved do not", "licenseref", "not licensed for redistribution", "not for redistribution",
 )
+#: A permission for some only.
+_SOME_ONLY = re.compile(r" (?:may|can|must|shall) (?:not )?(?:only )?be (?:used|copied|shared|distributed|redistributed|modified) (?:by|within|inside|at|for)(?: \S+){1,12}? only ")
+#: Exceptions that licences are joined with, by their SPDX names, as notices spell them.
+EXCEPTIONS = {
+    "Autoconf-exception-2.0": ("autoconf exception 2.0", "autoconf exception"),
+    "Bison-exception-2.2": ("bison exception 2.2", "bison exception"),
+    "Classpath-exception-2.0": ("classpath exception 2.0", "classpath exception", "the classpath exception"),
+    "Font-exception-2.0": ("font exception 2.0", "font exception"),
+    "GCC-exception-3.1": ("gcc exception 3.1", "gcc runtime library exception", "runtime library exception"),
+    "LLVM-exception": ("llvm exception", "llvm exceptions"),
+    "Linux-syscall-note": ("linux syscall note",),
+    "OpenSSL-exception": ("openssl exception", "openssl linking exception"),
+    "Qt-GPL-exception-1.0": ("qt gpl exception 1.0", "qt gpl exception"),
+    "Linking-exception": ("linking exception", "static linking exception", "special linking exception"),
+}
 _FILLERS = {"the", "a", "an", "either", "both", "license", "of", "terms", "under"}
 _JOINS = {"or", "and", "|", "with"}
+#: A file that by its name is a licence.
+_LICENSE_FILE = re.compile(r"(?i)^(?:un)?licen[cs]e(?:$|[-._ ])|^copying(?:$|[-._ ])")
+#: Words from which on such a file has terms, and rows of references that the driver agrees to read.
+LEAST_TERMS, MOST_REFERENCES = 20, 5000
 
 _PY = re.compile(r"__licen[cs]e__")
 _JSON = re.compile(r"[\"']licen[cs]e[\"']\s*[:=]>?")
@@ -124,71 +141,81 @@ class Automaton:
             kinds.setdefault(c, []).append(("cue", c))
         for c in OWN_TERMS:
             kinds.setdefault(c, []).append(("own", c))
+        for e, spellings in EXCEPTIONS.items():
+            for c in spellings:
+                kinds.setdefault(c, []).append(("exception", e))
         self.machine = ahocorasick.Automaton()
         for phrase, what in kinds.items():
             self.machine.add_word(f" {phrase} ", (len(phrase) + 2, tuple(what)))
         self.machine.make_automaton()
 
-    def statements(self, content: str) -> tuple[set[str], bool]:
-        """(licences the content states, whether it consists of a licence's text)."""
+    def statements(self, content: str, file_name: str = "") -> tuple[dict[str, set[str]], bool]:
+        """(licences the content states, each with its exceptions; whether it consists of a licence's text)."""
         words = words_of(content)
         text = f" {' '.join(words)} "
-        found: dict[tuple[str, str], set[int]] = {}
+        found: dict[tuple[str, str], set[str]] = {}
         name_at: dict[int, tuple[int, str]] = {}
+        exception_at: dict[int, tuple[int, str]] = {}
         cues: list[tuple[int, int, str]] = []
         own = False
         for last, (length, what) in self.machine.iter(text):
             start, end = last - length + 1, last
             for kind, value in what:
-                if kind == "name":
-                    if name_at.get(start, (0, ""))[0] < end:
-                        name_at[start] = (end, value)
+                if kind in ("name", "exception"):
+                    at = name_at if kind == "name" else exception_at
+                    if at.get(start, (0, ""))[0] < end:
+                        at[start] = (end, value)
                 elif kind == "cue":
                     cues.append((start, end, value))
                 elif kind == "own":
                     own = True
                 else:
-                    found.setdefault((value, kind), set()).add(hash(text[start:end]))
-        stated = {s for (s, kind), hits in found.items() if kind == "body" and len(hits) >= max(2, BODY_SHARE * self.sizes[s, kind])}
-        full = bool(stated) and 2 * sum(len(c.split()) for c in self._matched(text, found, stated)) >= len(words)
+                    found.setdefault((value, kind), set()).add(text[start:end])
+        whole = {s for (s, kind), hits in found.items() if kind == "body" and len(hits) >= max(2, BODY_SHARE * self.sizes[s, kind])}
+        held = {c for s in whole for c in found[s, "body"]}
         # a full text names other licences and its own clauses as it likes
-        if full:
-            return stated, True
-        stated |= {s for (s, kind), hits in found.items() if kind == "notice" and len(hits) >= max(2, NOTICE_SHARE * self.sizes[s, kind])}
-        for start, end, cue in cues:
-            got = self._names_from(text, end, name_at)
-            stated |= got
+        if whole and 2 * sum(len(c.split()) for c in held) >= len(words):
+            return {s: set() for s in whole}, True
+        stated: dict[str, set[str]] = {s: set() for s in whole}
+        for (s, kind), hits in found.items():
+            if kind == "notice" and len(hits) >= max(2, NOTICE_SHARE * self.sizes[s, kind]):
+                stated.setdefault(s, set())
+        own = own or bool(_SOME_ONLY.search(text))
+        for _, end, cue in cues:
+            got = self._names_from(text, end, name_at, exception_at)
+            for spdx, exceptions in got.items():
+                stated.setdefault(spdx, set()).update(exceptions)
             if not got and cue in STRICT_CUES and not own and self._names_unknown(text, end):
-                stated.add(OTHER)
-        stated |= self._piped(text, name_at)
-        if own and not stated - {OTHER}:
-            stated.add(OTHER)
-        elif stated - {OTHER}:
-            stated.discard(OTHER)
+                stated.setdefault(OTHER, set())
+        for spdx in self._piped(text, name_at):
+            stated.setdefault(spdx, set())
+        known = set(stated) - {OTHER}
+        if known:
+            stated.pop(OTHER, None)
+        elif own:
+            stated.setdefault(OTHER, set())
+        if not known and _LICENSE_FILE.match(file_name or "") and len(words) >= LEAST_TERMS:
+            return {OTHER: set()}, True
         return stated, False
 
-    def _matched(self, text: str, found: dict, stated: set[str]) -> set[str]:
-        out = set()
-        for last, (length, what) in self.machine.iter(text):
-            if any(kind == "body" and value in stated for kind, value in what):
-                out.add(text[last - length + 1 : last])
-        return out
-
-    def _names_from(self, text: str, at: int, name_at: dict[int, tuple[int, str]]) -> set[str]:
-        """Names that follow a position, joined by or/and; ``at`` is a blank."""
-        got: set[str] = set()
-        for _ in range(64):
+    def _names_from(self, text: str, at: int, name_at: dict[int, tuple[int, str]], exception_at: dict[int, tuple[int, str]]) -> dict[str, set[str]]:
+        """Names that follow a position, joined by or/and, each with the exceptions that follow it; ``at`` is a blank."""
+        got: dict[str, set[str]] = {}
+        now = ""
+        while True:
             if at in name_at:
-                at, spdx = name_at[at]
-                got.add(spdx)
+                at, now = name_at[at]
+                got.setdefault(now, set())
+            elif now and at in exception_at:
+                at, exception = exception_at[at]
+                got[now].add(exception)
             else:
                 nxt = text.find(" ", at + 1)
                 word = text[at + 1 : nxt] if nxt > 0 else ""
                 if not got and word in _FILLERS or got and (word in _JOINS or word in _FILLERS):
                     at = nxt
                     continue
-                break
-        return got
+                return got
 
     @staticmethod
     def _names_unknown(text: str, at: int) -> bool:
@@ -217,21 +244,23 @@ def automaton(references: list[tuple]) -> Automaton:
 
 
 def stated_licenses(files: DataFrame, references: DataFrame) -> DataFrame:
-    """``id, repo_name, repo_license, spdx_id, full`` for each licence a file of ``files`` states."""
+    """``id, repo_name, repo_license, spdx_id, exceptions, full`` for each licence a file of ``files`` states."""
     columns = ("spdx_id", "license_key", "name", "notice", "body")
-    refs = [tuple(r) for r in references.where(F.col("spdx_id").isNotNull()).select(*columns).collect()]
+    refs = [tuple(r) for r in references.where(F.col("spdx_id").isNotNull()).select(*columns).limit(MOST_REFERENCES + 1).collect()]
+    if len(refs) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} reference licences")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = automaton(refs)
         for pdf in batches:
             rows = []
-            for i, repo, recorded, content in zip(pdf["id"], pdf["repo_name"], pdf["repo_license"], pdf["content"]):
-                stated, full = machine.statements(content)
-                rows += [(i, repo, recorded, s, full) for s in sorted(stated)]
-            yield pd.DataFrame(rows, columns=["id", "repo_name", "repo_license", "spdx_id", "full"])
+            for i, repo, recorded, name, content in zip(pdf["id"], pdf["repo_name"], pdf["repo_license"], pdf["file_name"], pdf["content"]):
+                stated, full = machine.statements(content, name)
+                rows += [(i, repo, recorded, s, sorted(e), full) for s, e in sorted(stated.items())]
+            yield pd.DataFrame(rows, columns=["id", "repo_name", "repo_license", "spdx_id", "exceptions", "full"])
 
-    some = files.select("id", "repo_name", "repo_license", "content").where(F.length("content") > 0)
-    return some.mapInPandas(run, "id bigint, repo_name string, repo_license string, spdx_id string, full boolean")
+    some = files.where(F.length("content") > 0).select("id", "repo_name", "repo_license", "file_name", "content")
+    return some.mapInPandas(run, "id bigint, repo_name string, repo_license string, spdx_id string, exceptions array<string>, full boolean")
 
 
 def _verdict(spdx, recorded, agrees):

@@ -75,6 +75,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_verdicts(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "license_refs"))
 
 
+def p5_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each licence a file states, with the exceptions to it."""
+    return licenses.stated_licenses(_table(spark, sf_dir, "extract_files"), _table(spark, sf_dir, "license_refs")).select("id", "spdx_id", "exceptions", "full")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, restored_sha`` of files with wrongly decoded text."""
     return encoding_repair.garbled_files(_table(spark, sf_dir, "extract_files"))
@@ -121,7 +126,7 @@ select first_id, id from f where id <> first_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_evidence, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p1_evidence, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p5_statements, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
     return {f.__name__: f for f in every}
 
 

@@ -249,6 +249,19 @@ def test_licenses(spark):
     }
 
 
+def test_exceptions_and_own_terms():
+    machine = licenses.Automaton(_references())
+    say = machine.statements
+    assert say("// SPDX-License-Identifier: GPL-3.0-or-later WITH Classpath-exception-2.0") == ({"GPL-3.0": {"Classpath-exception-2.0"}}, False)
+    assert say("# Licensed under the Apache License 2.0 with LLVM exceptions or the MIT License.") == ({"Apache-2.0": {"LLVM-exception"}, "MIT": set()}, False)
+    assert say("# The classpath exception is explained elsewhere, as is MIT.") == ({}, False)
+    assert say("/* This may be copied within the Example society only, ask first. */") == ({"OTHER": set()}, False)
+    assert say("// may be used by callers") == ({}, False)
+    own = "Terms of the Example society. " + "Members give each other what they wrote, and ask before they pass it on. " * 4
+    assert say(own, "LICENSE") == ({"OTHER": set()}, True) and say(own, "COPYING.txt")[1] and say(own, "essay.txt") == ({}, False)
+    assert say("Released under " + " or ".join(["MIT", "GPL-3.0"] * 60 + ["Apache-2.0"]))[0].keys() == {"MIT", "GPL-3.0", "Apache-2.0"}
+
+
 # ---------------------------------------------------------------- 6
 TEXTS = ["Überträgt die Einträge während der Prüfläufe", "Décode la réponse à l'arrivée du dépôt", "Возвращает новый список перед закрытием файла", "読み込む設定を一覧に返す", "It’s the caller’s job – until it’s closed…", "Zamień część według kolejności", "Διαγράφει τη γραμμή"]
 
