@@ -1,10 +1,12 @@
 """Problem 9: filling containers of fixed capacity with documents.
 
-Lexical retrieval packing.  Documents are spread over shards by a hash of their
-id; each shard holds a bounded number of them, whatever the size of the table,
-and has a BM25 inverted index.  The largest unused document seeds a container,
-the index returns its unused neighbours by score, and these fill the container
-greedily; what room is left goes to the largest unused document that still fits.
+Lexical retrieval packing.  Documents are put in order of a min-hash of their
+tokens, so that such with much vocabulary in common lie near each other, and cut
+into shards of bounded size along that order; each shard has a BM25 inverted
+index over tokens.  The largest unused document seeds a container, the index
+returns its unused neighbours by score, and these fill the container greedily;
+the last of its room (``TAIL``) goes to the largest unused documents that fit,
+as the score knows nothing of sizes.
 
 A document is split only if it is larger than a container: into full containers
 and one remainder, which is packed like a document.
@@ -17,10 +19,7 @@ is left out; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import tokenizer
 
 #: Documents and characters a shard holds on average at most; the number of shards follows from the table.
@@ -36,26 +36,42 @@ SHARD_DOCUMENTS, SHARD_CHARS = 4000, 50_000_000
 K1, B = 1.2, 0.75
 #: Below this share of free room the best fit counts, no longer the score.
 TAIL = 0.12
+#: Terms in more than this share of a shard's documents tell none of them apart and are left out of scores.
+COMMON = 0.5
+#: Neighbours that are ranked first; more only as long as a container has room.
+FIRST_RANKED = 32
+#: Budgets that the driver agrees to read.
+MOST_BUDGETS = 1000
+#: Modulus of the min-hashes, and two factors of them.
+_PRIME, _FACTORS = 2147483647, (1103515245, 69069069)
 
 SCHEMA = "budget_id int, container_id bigint, position int, doc_id bigint, first_token bigint, n_tokens bigint"
-
-_WORD = re.compile(r"[^\W_]+")
+_SIZED = "doc_id bigint, size bigint, chars bigint, near bigint, terms array<int>, tf array<int>"
 
 
 def sized(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, size, terms, tf``: tokens and term frequencies of each document (terms as 32-bit hashes)."""
+    """``doc_id, size, chars, near, terms, tf``: tokens, characters, place by min-hash and token frequencies of each document."""
     shared = tokenizer.broadcast_vocabulary(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = tokenizer.pairs_of(shared.value)
         for pdf in batches:
-            terms, tf = [], []
-            for text in pdf["text"]:
-                counts = Counter(_WORD.findall(text.lower())) if text else {}
-                terms.append(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in counts), dtype=np.int64, count=len(counts)))
-                tf.append(np.fromiter(counts.values(), dtype=np.int32, count=len(counts)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "size": tokenizer.token_lengths(pdf["text"], shared.value), "terms": terms, "tf": tf})
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, size bigint, terms array<bigint>, tf array<int>")
+            texts = pdf["text"].tolist()
+            for s, e in tokenizer.chunks(texts):
+                flat, at = bpe.encode_many(texts[s:e])
+                flat = flat.astype(np.int64)
+                some = np.flatnonzero(np.diff(at))
+                near = np.zeros(e - s, dtype=np.int64)
+                if len(some):
+                    first, second = (np.minimum.reduceat((flat + 1) * f % _PRIME, at[some]) for f in _FACTORS)
+                    near[some] = first << 31 | second
+                parts = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pd.DataFrame({
+                    "doc_id": pdf["doc_id"].iloc[s:e].to_numpy(), "size": np.diff(at), "chars": [len(t or "") for t in texts[s:e]], "near": near,
+                    "terms": [t.astype(np.int32) for t, _ in parts], "tf": [c.astype(np.int32) for _, c in parts],
+                })
+
+    return documents.select("doc_id", "text").mapInPandas(run, _SIZED)
 
 
 class Index:
@@ -73,7 +89,9 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean() if n else 1.0, 1e-9))
         weight = idf[self.term] * freq * (K1 + 1) / (freq + norm[docs]) if len(flat) else freq
+        weight[(df > COMMON * n)[self.term]] = 0
         order = np.argsort(self.term, kind="stable")
+        self.rare = df <= COMMON * n
         self.docs, self.weight = docs[order].astype(np.int32), weight[order].astype(np.float32)
         self.at = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
         self.own = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -82,6 +100,7 @@ class Index:
     def scores(self, doc: int) -> np.ndarray:
         """Score of every document of the shard for the words of one."""
         query = self.term[self.own[doc] : self.own[doc + 1]]
+        query = query[self.rare[query]]
         if not len(query):
             return np.zeros(self.n, dtype=np.float32)
         starts, ends = self.at[query], self.at[query + 1]
@@ -90,6 +109,19 @@ class Index:
         return np.bincount(self.docs[picks], weights=self.weight[picks], minlength=self.n)
 
 
+def by_score(items: np.ndarray, scores: np.ndarray) -> Iterator[int]:
+    """Items from the highest score down, equals by their order; only as many are sorted as are asked for."""
+    done, wanted = 0, FIRST_RANKED
+    while done < len(items):
+        wanted = min(wanted, len(items))
+        # everything down to the score of the last one wanted, so that equals are not torn apart
+        least = scores[np.argpartition(-scores, wanted - 1)[wanted - 1]]
+        top = np.flatnonzero(scores >= least)
+        ranked = top[np.lexsort((top, -scores[top]))]
+        yield from items[ranked[done:]].tolist()
+        done, wanted = len(ranked), 8 * max(wanted, len(ranked))
+
+
 def fill(sizes: np.ndarray, capacity: int, index: Index) -> Iterator[list[int]]:
     """Lists of items, one for each container; every item of 1 to ``capacity`` tokens is in exactly one."""
     unused = sizes > 0
@@ -109,9 +141,7 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> Iterator[list[int]]:
         take(seed)
         if room > TAIL * capacity and order and order[0][0] <= room:
             fit = np.flatnonzero(unused & (sizes <= room))
-            score = index.scores(seed)[fit]
-            ranked = fit[np.lexsort((fit, -score))]
-            for item in ranked.tolist():
+            for item in by_score(fit, index.scores(seed)[fit]):
                 if room <= TAIL * capacity:
                     break
                 if sizes[item] <= room:
@@ -121,42 +151,76 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> Iterator[list[int]]:
         yield box
 
 
-def pack_shard(shard: int, ids: np.ndarray, sizes: np.ndarray, terms: list, tf: list, budgets: list[tuple[int, int]]) -> pd.DataFrame:
+def pack_shard(first: dict[int, int], ids: np.ndarray, sizes: np.ndarray, terms: list, tf: list, budgets: list[tuple[int, int]]) -> pd.DataFrame:
+    """Rows of a shard's containers; ``first`` holds the number of each budget's next container and is moved on."""
     index = Index(terms, tf)
-    out = []
+    parts = []
     for budget, capacity in budgets:
-        number = shard << 32
+        start = number = first[budget]
+        out: list[tuple[int, int, int, int, int]] = []
         full, rest = sizes // capacity, sizes % capacity
         # a document as large as a container fills one without being split
         for k in np.flatnonzero(full).tolist():
             for c in range(int(full[k])):
-                out.append((budget, number, 0, ids[k], c * capacity, capacity))
+                out.append((number, 0, ids[k], c * capacity, capacity))
                 number += 1
+        place = 0
         for box in fill(rest, capacity, index):
-            out += [(budget, number, p, ids[k], full[k] * capacity, rest[k]) for p, k in enumerate(box)]
+            out += [(number, p, ids[k], full[k] * capacity, rest[k]) for p, k in enumerate(box)]
+            place = len(box)
             number += 1
         # documents without tokens stand in the shard's last container
-        last = max(number - 1, shard << 32)
-        place = 1 + max((row[2] for row in out if row[0] == budget and row[1] == last), default=-1)
-        out += [(budget, last, place + p, ids[k], 0, 0) for p, k in enumerate(np.flatnonzero(sizes == 0).tolist())]
-    return pd.DataFrame(out, columns=["budget_id", "container_id", "position", "doc_id", "first_token", "n_tokens"])
+        empty = np.flatnonzero(sizes == 0).tolist()
+        if empty and number == start:
+            number += 1
+        place = place or int(number - start > 0 and bool(out))
+        out += [(number - 1, place + p, ids[k], 0, 0) for p, k in enumerate(empty)]
+        first[budget] = number
+        parts.append(pd.DataFrame(out, columns=["container_id", "position", "doc_id", "first_token", "n_tokens"]).assign(budget_id=budget))
+    return pd.concat(parts, ignore_index=True)[["budget_id", "container_id", "position", "doc_id", "first_token", "n_tokens"]]
 
 
 def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = tokenizer.DEFAULT_VOCABULARY, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """Where the tokens of each document go, for each row of ``budgets(budget_id, capacity_tokens)``.
 
     One row for each stretch of a document in a container.  The text is read
-    once; one shuffle spreads sizes and terms over shards of bounded size, in
-    which all budgets are packed.  ``budgets`` is a parameter table of a few
-    rows, so the driver reads it.
+    once; one shuffle brings sizes and terms in order, in which they are cut
+    into shards of bounded size, for all budgets at once.  ``budgets`` is a
+    parameter table, which the driver reads, and refuses if it is large.
     """
-    caps = [(r.budget_id, r.capacity_tokens) for r in budgets.select("budget_id", "capacity_tokens").collect() if r.capacity_tokens and r.capacity_tokens > 0]
-    n, chars = documents.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    shards = max(1, -(-n // shard_documents), -(-(chars or 0) // SHARD_CHARS))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        return pack_shard(int(pdf["shard"].iat[0]), pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["terms"].tolist(), pdf["tf"].tolist(), caps)
+    rows = budgets.select("budget_id", "capacity_tokens").limit(MOST_BUDGETS + 1).collect()
+    if len(rows) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    caps = [(r.budget_id, r.capacity_tokens) for r in rows if r.capacity_tokens and r.capacity_tokens > 0]
+    every = checkpointed(sized(documents, vocabulary))
+    n, chars = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    shards = max(1, -(-n // shard_documents), -(-chars // SHARD_CHARS))
 
-    sharded = sized(documents, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: dict[int, int] = {}
+        for pdf in _shards(batches, 2 * shard_documents, 2 * SHARD_CHARS):
+            # containers of a partition are numbered above its own number
+            first = first or {b: int(pdf["part"].iat[0]) << 40 for b, _ in caps}
+            pdf = pdf.sort_values("doc_id", kind="stable")
+            if caps:
+                yield pack_shard(first, pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["terms"].tolist(), pdf["tf"].tolist(), caps)
+
+    near = every.repartitionByRange(shards, "near", "doc_id").sortWithinPartitions("near", "doc_id")
+    return near.withColumn("part", F.spark_partition_id()).mapInPandas(run, SCHEMA)
+
+
+def _shards(batches: Iterator[pd.DataFrame], documents: int, chars: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition, which has about as many as a shard should have, in parts that never have more than twice that."""
+    held: list[pd.DataFrame] = []
+    count = size = 0
+    for pdf in batches:
+        start = 0
+        sizes = pdf["chars"].tolist()
+        for k, c in enumerate(sizes):
+            if count and (count >= documents or size + c > chars):
+                yield pd.concat([*held, pdf.iloc[start:k]], ignore_index=True)
+                held, start, count, size = [], k, 0, 0
+            count, size = count + 1, size + c
+        held.append(pdf.iloc[start:])
+    if count:
+        yield pd.concat(held, ignore_index=True)

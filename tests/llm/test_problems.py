@@ -473,6 +473,28 @@ def test_bm25_prefers_shared_words():
     assert scores[1] > scores[2] == scores[3] == 0 and not index.scores(3).any()
 
 
+def test_ranking_by_parts_is_the_whole_ranking():
+    rng = np.random.RandomState(3)
+    for n in (0, 1, 31, 400):
+        items, scores = np.sort(rng.choice(1000, n, replace=False)), rng.randint(0, 9, n).astype(float)
+        assert list(packing.by_score(items, scores)) == [i for _, i in sorted(zip(-scores, items.tolist()))]
+
+
+def test_shards_are_bounded_and_local(spark):
+    import pandas as pd
+
+    frames = [pd.DataFrame({"doc_id": range(k, k + 7), "chars": 10}) for k in range(0, 70, 7)]
+    cut = list(packing._shards(iter(frames), 16, 1000))
+    assert [len(c) for c in cut] == [16, 16, 16, 16, 6] and [i for c in cut for i in c["doc_id"]] == list(range(70))
+    assert [len(c) for c in packing._shards(iter(frames), 100, 95)] == [9] * 7 + [7]
+    # two vocabularies that share no word come to lie apart
+    texts = [" ".join(random.Random(k).choices(["alpha beta gamma", "delta epsilon"] if k % 2 else ["stone river", "blue green red"], k=30)) for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    near = {r.doc_id: r.near for r in packing.sized(docs, VOCABULARY).collect()}
+    order = [k % 2 for k in sorted(near, key=near.get)]
+    assert sum(a != b for a, b in zip(order, order[1:])) < 20
+
+
 # ---------------------------------------------------------------- 10
 def test_levels_on_held_out_samples(spark):
     rng = random.Random(6)
