@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ K1, B = 1.2, 0.75
 TAIL = 0.12
 #: Terms in more than this share of a shard's documents tell none of them apart and are left out of scores.
 COMMON = 0.5
+#: Share of the indexed documents still unused below which the index is made anew for them.
+SHRINK = 0.7
 #: Neighbours that are ranked first; more only as long as a container has room.
 FIRST_RANKED = 32
 #: Budgets that the driver agrees to read.
@@ -97,6 +100,14 @@ class Index:
         self.own = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.n = n
 
+    def only(self, wanted: np.ndarray) -> Index:
+        """The index with the postings of some documents only; their scores stay as they are."""
+        kept = wanted[self.docs]
+        out = copy(self)
+        out.docs, out.weight = self.docs[kept], self.weight[kept]
+        out.at = np.concatenate([[0], np.cumsum(kept)])[self.at]
+        return out
+
     def scores(self, doc: int) -> np.ndarray:
         """Score of every document of the shard for the words of one."""
         query = self.term[self.own[doc] : self.own[doc + 1]]
@@ -126,6 +137,7 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> Iterator[list[int]]:
     """Lists of items, one for each container; every item of 1 to ``capacity`` tokens is in exactly one."""
     unused = sizes > 0
     order = sorted(((int(s), -k) for k, s in enumerate(sizes) if s > 0))
+    indexed = len(sizes)
     while order:
         size, k = order[-1]
         seed = -k
@@ -140,6 +152,9 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> Iterator[list[int]]:
 
         take(seed)
         if room > TAIL * capacity and order and order[0][0] <= room:
+            # postings of used documents are dropped from time to time, so that scoring gets cheaper as documents are used up
+            if len(order) < SHRINK * indexed:
+                index, indexed = index.only(unused), len(order)
             fit = np.flatnonzero(unused & (sizes <= room))
             for item in by_score(fit, index.scores(seed)[fit]):
                 if room <= TAIL * capacity:

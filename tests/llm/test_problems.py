@@ -551,3 +551,13 @@ def test_restored_texts(spark):
     twice = text.encode().decode("latin-1").encode().decode("latin-1")
     rows = [(1, "a", twice), (2, "a", text), (3, "a", "plain"), (4, "a", None), (5, "a", "caf\ufffd au lait")]
     assert {r.id: r.restored for r in encoding_repair.restored_files(files(spark, rows)).collect()} == {1: text, 5: None}
+
+
+def test_dropping_used_documents_leaves_scores():
+    rng = np.random.RandomState(5)
+    terms = [np.unique(rng.randint(0, 40, rng.randint(1, 12))) for _ in range(60)]
+    index = packing.Index(terms, [np.ones(len(t), dtype=np.int32) for t in terms])
+    wanted = rng.rand(60) < 0.4
+    part = index.only(wanted).only(wanted)
+    for doc in range(60):
+        assert np.allclose(part.scores(doc)[wanted], index.scores(doc)[wanted]) and not part.scores(doc)[~wanted].any()
