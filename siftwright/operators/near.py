@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Characters of a shingle, permutations, and the weights of the two errors.
 SHINGLE, PERMUTATIONS = 7, 128
 THRESHOLD, WEIGHTS = 0.7, (0.4, 0.6)
 PRIME = 4294967311
 SEED = 1
 _BLOCK = 4096
-#: Signatures a task remembers; more are made anew.
-_KNOWN = 4096
+#: Signatures a task and hashes of shingles a worker remembers; more are made anew.
+_KNOWN, _KEPT = 4096, 500_000
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> list[tuple[int, int]]:
@@ -58,13 +60,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+class _Hashes(dict):
+    """32-bit hashes of shingles, kept up to a number, as texts share most of their shingles with others."""
+
+    def __missing__(self, piece: str) -> int:
+        x = int.from_bytes(hashlib.sha256(piece.encode("utf-8", "replace")).digest()[:4], "big")
+        if len(self) < _KEPT:
+            self[piece] = x
+        return x
+
+
+_HASHES = _Hashes()
+
+
 def signature_of(text: str, factors: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Least hash of each permutation over a text's shingles; the largest value everywhere for a text without any."""
     least = np.full(len(factors), PRIME - 1, dtype=np.int64)
     pieces = {text[k : k + size] for k in range(len(text) - size + 1)}
     if not pieces:
         return least
-    x = np.fromiter((int.from_bytes(hashlib.sha256(p.encode("utf-8", "replace")).digest()[:4], "big") for p in pieces), dtype=np.int64, count=len(pieces))
+    x = np.fromiter(map(_HASHES.__getitem__, pieces), dtype=np.int64, count=len(pieces))
     for k in range(0, len(x), _BLOCK):
         np.minimum(least, ((x[k : k + _BLOCK, None] * factors + offsets) % PRIME).min(axis=0), out=least)
     return least
@@ -96,7 +111,7 @@ def signatures(rows: DataFrame, size: int = SHINGLE, n: int = PERMUTATIONS, seed
             yield pdf.drop(columns="text").assign(signature=out)
 
     kept = [f for f in rows.schema if f.name != "text"]
-    return rows.select(*[f.name for f in kept], "text").mapInPandas(run, T.StructType([*kept, T.StructField("signature", T.ArrayType(T.LongType()))]))
+    return spread(rows.select(*[f.name for f in kept], "text")).mapInPandas(run, T.StructType([*kept, T.StructField("signature", T.ArrayType(T.LongType()))]))
 
 
 def classes(corpus: DataFrame, text: str = "normal") -> DataFrame:

@@ -60,3 +60,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, dealt out to all of them; any other frame as it is.
+
+    Worth it before much work a row on tables of few row groups.  Tables with more partitions than cores are never shuffled.
+    """
+    if "Exchange" in frame._jdf.queryExecution().sparkPlan().toString():
+        return frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
