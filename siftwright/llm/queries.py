@@ -120,15 +120,28 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_refs"))
 
 
+def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage ranks of all documents by all their words."""
+    docs = _table(spark, sf_dir, "documents")
+    return reading_level.coverage_ranks(docs.select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
+_P10_COVER = rf"""with w as (select doc_id, unnest(regexp_extract_all(lower("text"), '\p{{L}}+')) as word from documents),
+c as (select doc_id, word, count(*) as n from w group by 1, 2), t as (select word, sum(n) as n from c group by 1),
+r as (select word, count(*) over (order by n desc range between unbounded preceding and current row) as rank from t),
+a as (select doc_id, rank, sum(n) over (partition by doc_id order by rank range between unbounded preceding and current row) as upto, sum(n) over (partition by doc_id) as total from c join r using (word))
+select doc_id, {", ".join(f"min(rank) filter (where upto >= {s}::double * total) as cover_{k}" for k, s in enumerate(reading_level.SHARES))} from a group by 1"""
+
+
 _P3_ORDERED = rf"""with k as (select id, regexp_replace(regexp_replace(lower(coalesce(extension, '')), '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g'), '^\.', '') as e, regexp_replace(lower(content), '[^\p{{L}}\p{{N}}]+', '', 'g') as t from extract_files),
 f as (select id, min(id) over (partition by e, t) as first_id from k where t <> '')
 select first_id, id from f where id <> first_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_evidence, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p5_statements, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found)
+    every = (p1_found, p1_evidence, p2_found, p2_spans, p2_clean, p3_found, p3_survivors, p3_ordered, p4_found, p4_scores, p4_redacted, p5_found, p5_statements, p6_found, p6_restored, p7_found, p7_faults, p7_rates, p8_ids, p9_pack, p10_found, p10_cover)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_ordered": _P3_ORDERED}
+    return {"p3_ordered": _P3_ORDERED, "p10_cover": _P10_COVER}

@@ -131,6 +131,18 @@ def coverage(pairs: Column, shares: tuple[float, ...] = SHARES) -> tuple[Column,
     return total, F.aggregate(F.sort_array(pairs), start, add)
 
 
+def coverage_ranks(texts: DataFrame) -> DataFrame:
+    """``id, cover_0, ...`` of ``texts(id, text)``: the coverage ranks by all runs of letters, markup and code included; texts without any have none.
+
+    Words are cut and counted on the JVM; only counts are shuffled.
+    """
+    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    counts = checkpointed(words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")))
+    own = counts.join(word_ranks(counts), "word").groupBy("id").agg(F.collect_list(F.struct("rank", "n")).alias("pairs"))
+    total, covered = coverage(F.col("pairs"))
+    return own.withColumn("_total", total).withColumn("c", covered).select("id", *[F.col(f"c.c{k}").alias(f"cover_{k}") for k in range(len(SHARES))])
+
+
 def measures(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``kind, id`` and the five measures of each text of ``texts(kind, id, text)``; ranks are over all of them.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwright.llm import canonical_ledger, chart, credentials, encoding_repair, handwritten, leakage, licenses, packing, reading_level, syntax, tokenizer
+from siftwright.llm import canonical_ledger, chart, credentials, encoding_repair, handwritten, leakage, licenses, packing, queries, reading_level, syntax, tokenizer
 
 VOCABULARY = tokenizer.DEFAULT_VOCABULARY
 FILES = "id bigint, file_name string, file_path string, content string, language string, extension string, max_line_length bigint, repo_name string, repo_license string, hash string"
@@ -561,3 +561,19 @@ def test_dropping_used_documents_leaves_scores():
     part = index.only(wanted).only(wanted)
     for doc in range(60):
         assert np.allclose(part.scores(doc)[wanted], index.scores(doc)[wanted]) and not part.scores(doc)[~wanted].any()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for table in ("documents", "extract_files"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
+    frame = queries.queries()[name](spark, data)
+    columns = sorted(frame.columns)
+    sql = con.execute(queries.oracle_sql()[name])
+    at = [[d[0] for d in sql.description].index(c) for c in columns]
+    assert Counter(map(tuple, frame.select(columns).collect())) == Counter(tuple(r[i] for i in at) for r in sql.fetchall())
