@@ -67,3 +67,9 @@ def line_stats(text: Column) -> dict[str, Column]:
         "max_line_length": F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)).cast("bigint"),
         "alphanum_fraction": F.when(whole > 0, alnum.cast("double") / whole),
     }
+
+
+def hash_64(text: Column) -> Column:
+    """The first 8 bytes of a text's SHA-256 as a number, the least byte first, in 16 hexadecimal digits, so that it compares as the number does."""
+    hexed = F.sha2(text, 256)
+    return F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import comments, literals, text
+from . import masks
 
 #: Columns that may hold a corpus' text or path; the first that is there counts.
 CONTENT_FOR_HASH = ("text", "code", "code_text", "content")
@@ -54,11 +55,10 @@ def exact_mask(hashed: DataFrame, other: DataFrame, name: str) -> DataFrame:
     """``hashed`` with the boolean ``exact_duplicates_<name>``; no row is dropped.
 
     The other side is distinct, so the join keeps the number of rows; Spark
-    broadcasts it if it is measured to be small, else both sides are shuffled,
-    and a hash that a third of the rows share is split by adaptive execution.
+    broadcasts it if it is measured to be small, else both sides are shuffled.
     """
-    marked = other.select("sha").where(F.col("sha").isNotNull()).distinct().withColumn("_there", F.lit(True))
-    return hashed.join(marked, "sha", "left").withColumn(f"exact_duplicates_{name}", F.coalesce("_there", F.lit(False))).drop("_there")
+    marked = other.where(F.col("sha").isNotNull()).select("sha").distinct().withColumn("_there", F.lit(1))
+    return masks.flagged(hashed, "sha", marked, "_there").withColumn(f"exact_duplicates_{name}", F.col("_there") > 0).drop("_there")
 
 
 def keep_first(hashed: DataFrame, order: str) -> DataFrame:

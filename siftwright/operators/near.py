@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import spread
+from . import masks
 
 #: Characters of a shingle, permutations, and the weights of the two errors.
 SHINGLE, PERMUTATIONS = 7, 128
@@ -139,9 +140,9 @@ def near_keys(own: DataFrame, other: DataFrame) -> DataFrame:
 
 def near_mask(corpus: DataFrame, keys: DataFrame, name: str, text: str = "normal") -> DataFrame:
     """``corpus`` with the boolean ``near_duplicates_<name>``; no row is dropped."""
-    marked = keys.select(F.col("key").alias("_key"), F.lit(True).alias("_there"))
-    joined = corpus.withColumn("_k", F.sha2(F.col(text), 256)).join(marked, F.col("_k") == F.col("_key"), "left")
-    return joined.withColumn(f"near_duplicates_{name}", F.coalesce("_there", F.lit(False))).drop("_k", "_key", "_there")
+    marked = keys.select(F.col("key").alias("_class"), F.lit(1).alias("_there"))
+    joined = masks.flagged(corpus.withColumn("_class", F.sha2(F.col(text), 256)), "_class", marked, "_there")
+    return joined.withColumn(f"near_duplicates_{name}", F.col("_there") > 0).drop("_class", "_there")
 
 
 def signed_alike(signed: DataFrame) -> DataFrame:

@@ -10,10 +10,6 @@ from ..session import checkpointed
 
 #: Other corpora that one comparison can tell apart: bits of a mask.
 MOST_CORPORA = 62
-#: Rows without a text share one hash; these many parts keep them out of one task.
-PARTS = 64
-#: Fixed value: SHA-256 of the empty text.
-EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def normal_corpus(corpus: DataFrame, languages: dict[str, list[str]], order: tuple[str, ...] = exact.CONTENT_FOR_HASH) -> DataFrame:
@@ -41,20 +37,6 @@ def for_index(corpus: DataFrame, languages: dict[str, list[str]]) -> DataFrame:
     return corpus.withColumn("near_normal", text).withColumn("near_key", F.sha2("near_normal", 256))
 
 
-def _flagged(rows: DataFrame, key: str, flags: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` of ``flags(key, column)``, 0 where there is none.
-
-    ``flags`` has one row a key, so the number of rows stays.  The empty text's
-    rows may be a third of all: their key is divided into PARTS by row, and its
-    one flag repeated.  Other hot keys are split by adaptive execution.
-    """
-    part = F.when(F.col(key) == EMPTY, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).otherwise(F.lit(0))
-    parts = F.when(F.col("_k") == EMPTY, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
-    there = flags.select(F.col(key).alias("_k"), column).select("_k", F.explode(parts).alias("_q"), column)
-    joined = rows.withColumn("_p", part.cast("bigint")).join(there, (F.col(key) == F.col("_k")) & (F.col("_p") == F.col("_q")), "left")
-    return joined.withColumn(column, F.coalesce(column, F.lit(0))).drop("_k", "_q", "_p")
-
-
 def masked(own: DataFrame, others: dict[str, DataFrame], languages: DataFrame) -> DataFrame:
     """``own`` with an exact and a near mask for each other corpus; no row is dropped.
 
@@ -78,7 +60,7 @@ def masked(own: DataFrame, others: dict[str, DataFrame], languages: DataFrame) -
     index = checkpointed(near.bands(signed.distinct()))
     there = index.where(F.col("bit") != 0).groupBy("band", "band_key").agg(F.bit_or("bit").alias("_near"))
     found = index.where(F.col("bit") == 0).join(there, ["band", "band_key"]).groupBy(F.col("key").alias("near_key")).agg(F.bit_or("_near").alias("_near"))
-    out = _flagged(_flagged(out, "sha", hashes, "_exact"), "near_key", found, "_near")
+    out = masks.flagged(masks.flagged(out, "sha", hashes, "_exact"), "near_key", found, "_near")
     for k, name in enumerate(others):
         for kind in ("exact", "near"):
             out = out.withColumn(f"{kind}_duplicates_{name}", F.col(f"_{kind}").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0)

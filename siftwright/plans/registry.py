@@ -153,6 +153,17 @@ def shingles_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.size(near.shingles(F.col("text"))).cast("bigint").alias("n")).distinct()
 
 
+_HASH_64 = " || ".join(f"substr(sha256(g), {k}, 2)" for k in range(15, 0, -2))
+
+
+@_query("shingle_hash", f"with {_CORPORA}, {_sql_bands('a')} select key, min({_HASH_64}) as least, max({_HASH_64}) as most from a_shi group by key")
+def shingle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and the largest 64-bit hash of each text's shingles."""
+    rows = near.keyed(_foreign(spark, sf_dir, "foreign_a"))
+    hashes = rows.select("key", F.transform(near.shingles(F.col("text")), text.hash_64).alias("h")).where(F.size("h") > 0)
+    return hashes.select("key", F.array_min("h").alias("least"), F.array_max("h").alias("most")).distinct()
+
+
 @_query("minhash_sig", f"with {_CORPORA}, {_sql_bands('own')} select key, md5(concat_ws(',', {', '.join(f'h{k}' for k in range(near.PERMUTATIONS))})) as digest from own_sig")
 def minhash_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = near.signatures(near.keyed(_own(spark, sf_dir)))

@@ -1,3 +1,6 @@
+import hashlib
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,8 @@ def test_paths(spark, path, ext, base, stem):
 @pytest.mark.parametrize("given, wanted", [("{'path': 'a/b.py', 'n': 1}", "a/b.py"), ("{'path': \"it's\"}", "it's"), ("{'x': {'path': 'no'}}", None), ("not a dict", None), (None, None), ("{'path': None}", None), ("{'a': True, 'path': 'p'}", "p")])
 def test_literals(spark, given, wanted):
     assert one(spark, literals.literal_value(F.col("t"), "path"), t=given) == wanted
+
+
+def test_hash_64_is_the_first_eight_bytes(spark):
+    for t in ("abcdefg", "", "é€"):
+        assert int(one(spark, text.hash_64(F.col("t")), t=t), 16) == struct.unpack("<QQ", hashlib.sha256(t.encode()).digest()[:16])[0]

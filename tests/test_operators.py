@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright import session
 from siftwright.functions import comments, text
 from siftwright.operators import exact, extensions, extract, masks, near, repos
 from siftwright.plans import pipeline, registry
@@ -233,6 +234,44 @@ def test_index_takes_the_other_column(spark):
     assert row.normal == "onetextthatislongenough" and row.near_normal == "quiteanothercodeofsomelength" and row.near_key != row.sha
 
 
+def test_bytes_are_decoded_alike_by_columns(spark):
+    raws = ["é x".encode(), "é".encode("cp1252"), b"\xef\xbb\xbfmark", "ab".encode("utf-16"), "ab".encode("utf-32"), b"\xfe\xff\x00a", b"", None, b"\x81\x8d", b"plain"]
+    got = spark.createDataFrame([(b,) for b in raws], "b binary").select(extract.decoded(F.col("b")).alias("t")).collect()
+    assert [r.t for r in got] == [None if b is None else extract.decode(b) for b in raws]
+
+
+def test_full_buckets_are_cut_by_date(spark):
+    rows = [(k, 950, f"2010-0{1 + k % 3}-10T00:00:00Z") for k in range(6)] + [(10, 950, "1999-01-01T00:00:00Z"), (11, 3, None), (12, None, None)]
+    frame = spark.createDataFrame(rows, "id long, stargazers_count long, created_at string")
+    got = {(r.bucket, r.last_day and str(r.last_day), r.n) for r in repos.requeried(frame, 5).collect()}
+    assert got == {(3, None, 1), *((900, f"2010-0{m + 1}-01", 2) for m in (1, 2, 3))}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
+def test_rows_without_text_are_spread(spark):
+    rows = spark.range(0, 2000).select("id", F.lit(masks.EMPTY).alias("sha"))
+    flags = spark.createDataFrame([(masks.EMPTY, 3)], "sha string, f int")
+    got = masks.flagged(rows, "sha", flags, "f")
+    assert got.count() == 2000 and got.where("f = 3").count() == 2000 and got.columns == ["id", "sha", "f"]
+    assert masks.flagged(rows, "sha", flags.limit(0), "f").where("f = 0").count() == 2000
+
+
 def test_masks_of_several_corpora(spark, languages):
     base = "def f(x):\n    return x + 1\n" * 9
     own = spark.createDataFrame([(k, "a.py", t) for k, t in enumerate([base, base, None, "", "q" * 40])] + [(9, None, None)], "id int, path string, content string")
