@@ -73,7 +73,7 @@ _GENERATED_PATH = re.compile(rf"(?i)(?:^|/)(?:{GENERATED_DIRS})/|{GENERATED_NAME
 _MINIFIED_PATH = re.compile(rf"(?i){MINIFIED_NAMES}")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
-_DROPPED = re.compile(r"[\W_]+")
+_KEPT = re.compile(r"[^\W_]+")
 _LEAD = re.compile(r"\s*(?:/\*.*?\*/|//[^\n]*\n|#[^\n]*\n|--[^\n]*\n)\s*", re.S)
 _NUMBERS = re.compile(r"(?:\b(?:0[xX][0-9A-Fa-f]{1,16}|\d{1,6}(?:\.\d+)?)[uUlL]{0,2}(?:[\])} ]{0,6}[,;][\[({ -]{0,6}| -?)){24,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{200,}|(?:[\"'][A-Za-z0-9+/=_-]{40,}[\"'][\s+,\\.]*){4,}|(?:\\x[0-9A-Fa-f]{2}){40,}")
@@ -118,7 +118,7 @@ def is_minified(content: str, path: str) -> bool:
 def is_data(content: str) -> bool:
     """More than half of the content is tables of numbers or encoded strings."""
     # laid out one number a line or all in one, a table is as large
-    content = _SPACE.sub(" ", content)
+    content = " ".join(content.split())
     n = len(content)
     if n < 350:
         return False
@@ -167,9 +167,9 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, repo, path, content in zip(pdf["id"], pdf["repo_name"], pdf["path"], pdf["content"]):
             lead = m.group() if (m := _LEADING.match(content)) else ""
-            body = _DROPPED.sub("", content[len(lead) :].lower())
             # a file of comments only is its comments
-            leaf = int.from_bytes(hashlib.blake2b((body or _DROPPED.sub("", lead.lower())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            body = "".join(_KEPT.findall(content[len(lead) :].lower()) or _KEPT.findall(lead.lower()))
+            leaf = int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
             below = _VENDOR.search(path)
             said = set(_NAME.findall(lead.lower()))
             own = set(_NAME.findall((repo or "").lower()))
