@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import exact, extract, near, repos
 from ..session import scratch
-from ..sources import pages, tables
+from ..sources import pages, tables, trees
 from ..streaming import incremental
 from . import pipeline, registry
 from .registry import _ALL_BANDS, _CORPORA, _ORDER, _SQL_FIRST, _SQL_TIME, _crawl_order, _endings, _files, _foreign, _own, _query, _repos, _sql_bands, _sql_exact, _sql_near, _sql_normal, _table
@@ -198,6 +198,18 @@ def tree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.list_tree(spark, root).select(F.element_at(parts, -2).cast("bigint").alias("id"), F.element_at(parts, -1).alias("file_name"))
 
 
+@_query("tree_hidden", f"select id, '.' || {_SAFE} as file_name, strlen(content)::bigint as length, md5(content) as digest from extract_files where strlen(content) < 3000")
+def tree_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees with hidden files, those of 3,000 bytes and more left out unopened."""
+    root = scratch(spark, "tree")
+    safe = F.concat(F.lit(".f"), F.regexp_replace(F.coalesce("file_name", F.lit("")), "[^A-Za-z0-9._-]", "_"))
+    rows = _files(spark, sf_dir).where(F.col("content").isNotNull()).select(F.concat_ws("/", text.repo_folder(F.col("repo_name")), F.col("id").cast("string"), safe).alias("file_path"), F.encode("content", "UTF-8").alias("raw"))
+    extract.write_tree(rows, root.removeprefix("file:"))
+    spark.dataSource.register(trees.RepositoryTrees)
+    found, parts = spark.read.format("repository_trees").option("most_bytes", 3000).load(root), F.split("path", "/")
+    return found.select(F.element_at(parts, -2).cast("bigint").alias("id"), F.element_at(parts, -1).alias("file_name"), "length", F.md5("content").alias("digest"))
+
+
 # ---------------------------------------------------------------- streams
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads what a pattern finds, or folders

@@ -14,7 +14,7 @@ from siftwright import session
 from siftwright.functions import comments, text
 from siftwright.operators import exact, extensions, extract, masks, near, repos
 from siftwright.plans import pipeline, registry
-from siftwright.sources import pages, tables
+from siftwright.sources import pages, tables, trees
 from siftwright.streaming import incremental
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -152,6 +152,17 @@ def test_sources(spark, tmp_path):
     assert pages.pause(100, 40) == 67.5 and pages.pause(1, 40) == 7.5
 
 
+def test_hidden_files_are_walked(spark, tmp_path):
+    for name, body in ((".top", b"t"), ("a/.hidden/x.py", b"12"), ("a/_u.py", b"123"), ("a/.git/config", b"no"), ("b/big", b"0" * 50), ("b/empty", b"")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    spark.dataSource.register(trees.RepositoryTrees)
+    rows = spark.read.format("repository_trees").option("most_bytes", 50).load(str(tmp_path)).collect()
+    assert {(os.path.relpath(r.path, tmp_path), r.length, bytes(r.content)) for r in rows} == {(".top", 1, b"t"), ("a/.hidden/x.py", 2, b"12"), ("a/_u.py", 3, b"123"), ("b/empty", 0, b"")}
+    listed = spark.read.format("repository_trees").schema("path string, length bigint").load(str(tmp_path))
+    assert listed.count() == 5 and listed.columns == ["path", "length"]
+
+
 def test_corpus_by_language(spark, tmp_path):
     tables.write_corpus(spark.createDataFrame([(1, "Go"), (2, "C")], "id int, language string"), str(tmp_path / "c"))
     assert tables.languages_in(spark, str(tmp_path / "c")) == ["C", "Go"]
