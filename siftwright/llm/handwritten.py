@@ -263,7 +263,8 @@ def with_evidence(files: DataFrame) -> DataFrame:
     tree = marked.where(F.coalesce("mark", F.lit(0)) != 1).select("id", "repo_name", "path", "hash", "below", F.coalesce(F.col("mark") == 2, F.lit(False)).alias("version"))
     tree = tree.withColumn("foreign", F.col("below") | F.col("version"))
     sizes = tree.select("repo_name", "path", "hash").distinct().groupBy("repo_name").agg(F.count(F.lit(1)).alias("files"))
-    subtrees = shared_subtrees(merkle_nodes(tree), sizes)
+    # nodes are compared with each other, so they are read twice
+    subtrees = shared_subtrees(checkpointed(merkle_nodes(tree)), sizes)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     held = tree.select("id", "repo_name", F.explode(above).alias("dir")).join(subtrees, ["repo_name", "dir"], "left_semi").select("id", F.lit("subtree").alias("evidence"))
