@@ -73,12 +73,13 @@ _GENERATED_PATH = re.compile(rf"(?i)(?:^|/)(?:{GENERATED_DIRS})/|{GENERATED_NAME
 _MINIFIED_PATH = re.compile(rf"(?i){MINIFIED_NAMES}")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
-_KEPT = re.compile(r"[^\W_]+")
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _LEAD = re.compile(r"\s*(?:/\*.*?\*/|//[^\n]*\n|#[^\n]*\n|--[^\n]*\n)\s*", re.S)
 _NUMBERS = re.compile(r"(?:\b(?:0[xX][0-9A-Fa-f]{1,16}|\d{1,6}(?:\.\d+)?)[uUlL]{0,2}(?:[\])} ]{0,6}[,;][\[({ -]{0,6}| -?)){24,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{200,}|(?:[\"'][A-Za-z0-9+/=_-]{40,}[\"'][\s+,\\.]*){4,}|(?:\\x[0-9A-Fa-f]{2}){40,}")
 #: Lines of one shape in which a number counts upwards, one after the other: the layout of a generated table.
 LEAST_COUNTED = 8
+_TWO_NUMBERS = re.compile(r"\d[^\d\n]+\d")
 _FIRST_NUMBER = re.compile(r"\d{1,9}")
 _LETTERS = re.compile(r"[^\W_]+")
 #: A statement that begins right where another ends.
@@ -132,6 +133,8 @@ def is_data(content: str) -> bool:
 
 def counts_up(content: str) -> bool:
     """A run of lines that are alike but for letters and digits, the first number one more from each to the next, and texts that repeat it."""
+    if len(_TWO_NUMBERS.findall(content)) < LEAST_COUNTED:
+        return False
     run, before, shape = 0, 0, ""
     for line in content.split("\n"):
         m = _FIRST_NUMBER.search(line)
@@ -162,14 +165,19 @@ def own_kind(content: str, path: str) -> str | None:
     return "generated" if is_generated(content, path) else None
 
 
+def _canonical(text: str) -> bytes:
+    """The text without letter case and the white space and marks of ASCII."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS)
+
+
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for i, repo, path, content in zip(pdf["id"], pdf["repo_name"], pdf["path"], pdf["content"]):
             lead = m.group() if (m := _LEADING.match(content)) else ""
             # a file of comments only is its comments
-            body = "".join(_KEPT.findall(content[len(lead) :].lower()) or _KEPT.findall(lead.lower()))
-            leaf = int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            body = _canonical(content[len(lead) :]) or _canonical(lead)
+            leaf = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True)
             below = _VENDOR.search(path)
             said = set(_NAME.findall(lead.lower()))
             own = set(_NAME.findall((repo or "").lower()))
