@@ -41,10 +41,11 @@ SAMPLE_FILES, SAMPLE_CANDIDATES = 6000, 50_000
 HELD_OUT = 4
 ROUNDS, RIDGE = 40, 1e-2
 
-_STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "cred", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "npm_", "glpat-", "_live_", "xox", "eyj", "basic", "://", "aiza", "sg.")
+_STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "jwt", "cred", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "npm_", "glpat-", "_live_", "xox", "eyj", "basic", "://", "aiza", "sg.", "pw", "login", " -u ", "--user")
 
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", re.S)
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>]*:([^\s@\"'/<>]+)@")
+_USER = re.compile(r"(?<![\w-])(?:-u|--user)[ =]+[\"']?[\w.@+-]+:([^\s\"'`]+)")
 _CONNECTION = re.compile(r"(?i)(?<=[;\"' ])(?:pwd|password)=([^;\"'\s]+)(?=;)")
 _SCHEME = re.compile(r"(?i)\b(basic|bearer|token)\s+([A-Za-z0-9+/._~-]{8,}={0,2})(?![A-Za-z0-9+/._~-])")
 #: Prefixes by which issuers mark their tokens.
@@ -54,16 +55,18 @@ _ISSUED = re.compile(
 )
 _PUBLIC = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PRIVATE)[A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 _PREFIXES = ("akia", "asia", "gh", "npm_", "glpat-", "k_live_", "k_test_", "xox", "aiza", "eyj", "sg.")
-_HIT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|jwt|cred|sign|hdr|header|basic|_pat\b|credential")
+_HIT = re.compile(r"pass|pwd|pw\b|login|secret|token|key|auth|bearer|jwt|cred|sign|hdr|header|basic|_pat\b|credential")
 #: A line on which a bare value may stand: a comment, a command line, an export.
 _SAID = re.compile(r"\s*(?:#|//|--|;|\*|/\*|<!--|%|export\b|set\b|env\b|machine\b|REM\b)|.*\s--[\w-]+[= ]")
 _NAME = r"(?P<name>[A-Za-z_][\w.-]*)"
 _QUOTED = re.compile(_NAME + r"""(?P<q0>["'])?\]?\s*(?::=|=>|==?|:|,|\s)\s*(?:[ubrf]{1,2})?(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""")
 _BARE = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)(?:[ \t]*(?::=|=>|=|:)[ \t]*|[ \t]+is[ \t]+)(?P<v>[^\s\"'`<>(){}\[\],;][^\s\"'`,;]*)")
+#: A sentence that says what something is, after whatever stands before it on its line.
+_IS = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)[ \t]+is[ \t]+(?P<v>[^\s\"'`<>(){}\[\],;][^\s\"'`,;]*)")
 _NETRC = re.compile(r"(?i)\b(?P<name>password|passwd|secret|account)\s+(?P<v>[^\s\"'`,;:=]{6,})\s*(?:\*/|-->)?$", re.M)
 
-_STRONG = re.compile(r"(?i)passw|passwd|pwd\b|_pwd|pwd$|(?:^|[_.-])pass$|(?-i:[a-z]Pass$)|passphrase|secret|api_?-?key|apikey|auth_?-?token|access_?-?key|private_?-?key|bearer|jwt|cred(?:s|ential)|(?:^|[_.-])token$|(?-i:[a-z]Token$)|^TOKEN$|_TOKEN$|(?-i:[a-z]Pwd$)")
-_WEAK = re.compile(r"(?i)key(?:_?-?id)?$|_pat$|auth|token|(?:^|[_.-])pass(?:$|[_.-])|signing|sign(?:er)?$|hdr|header")
+_STRONG = re.compile(r"(?i)passw|passwd|pwd\b|_pwd|pwd$|(?:^|[_.-])pw$|(?-i:[a-z]Pw$)|(?:^|[_.-])pass$|(?-i:[a-z]Pass$)|passphrase|secret|api_?-?key|apikey|auth_?-?token|access_?-?key|private_?-?key|bearer|jwt|cred(?:s|ential)|(?:^|[_.-])token$|(?-i:[a-z]Token$)|^TOKEN$|_TOKEN$|(?-i:[a-z]Pwd$)")
+_WEAK = re.compile(r"(?i)key(?:_?-?id)?$|login$|_pat$|auth|token|(?:^|[_.-])pass(?:$|[_.-])|signing|sign(?:er)?$|hdr|header")
 _UNLIKE = re.compile(r"(?i)sha\d*|hash|digest|commit|checksum|etag|uuid|guid|integrity|nonce|public|verify|fingerprint|revision|version|license|file|path|name$|label|title|color|row_?key|primary|foreign")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*{2,}|\.{2,}|-+|#+|0+|1234\w*|<.*>|\[.*\]|\$\{.*\}|\$\(.*\)|\{\{.*\}\}|\{.*\}|%\(?[A-Z_]+\)?s?%?|\$[A-Z_][A-Z0-9_]*|@@.*@@|your\b.*|your[-_].*|my[-_]?(?:password|secret|token|key)"
@@ -128,6 +131,9 @@ def candidates(content: str, config: bool = False) -> list[Candidate]:
     if any(s in low for s in _PREFIXES):
         for m in _ISSUED.finditer(content):
             add("issued", _name_before(content, m.start()), m.group(), m.start())
+    if " -u" in low or "--user" in low:
+        for m in _USER.finditer(content):
+            add("url", "password", m[1], m.start(1))
     done = -1
     for hit in _HIT.finditer(low):
         if hit.start() < done:
@@ -144,7 +150,7 @@ def candidates(content: str, config: bool = False) -> list[Candidate]:
             if m["v"].strip():
                 add("quoted", m["name"], m["v"], start + m.start("v"))
         if config or _SAID.match(line):
-            for m in _BARE.finditer(line):
+            for m in (*_IS.finditer(line), *_BARE.finditer(line)):
                 if (_STRONG.search(m["name"]) or _WEAK.search(m["name"])):
                     add("bare", m["name"], m["v"].removesuffix("*/"), start + m.start("v"))
             for m in _NETRC.finditer(line):

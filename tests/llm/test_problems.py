@@ -218,6 +218,14 @@ def test_patterns_leave_cases_to_the_model():
     assert {c.value for c, _ in credentials.secrets_of(f'session_token = "{long}"\n', "a.py", model)} == {long}
 
 
+@pytest.mark.parametrize(
+    ("line", "value"),
+    [("# curl -u me:a1B2c3D4e5F6 https://x.example/", "a1B2c3D4e5F6"), ("run --user=me:a1B2c3D4e5F6 x", "a1B2c3D4e5F6"), ("// TODO remove: login is a1B2c3D4e5F6", "a1B2c3D4e5F6"), ('ROOT_PW = "a1B2c3D4e5F6"', "a1B2c3D4e5F6"), ('const rootPw = "a1B2c3D4e5F6"', "a1B2c3D4e5F6")],
+)
+def test_places_of_credentials(line, value):
+    assert [c.value for c in credentials.candidates(f"x = 1\n{line}\n")] == [value]
+
+
 def test_threshold_and_bigrams():
     assert credentials.best_threshold(np.array([0.1, 0.2, 0.8]), np.array([0, 0, 1])) == 0.5
     assert credentials.best_threshold(np.array([0.1, 0.3, 0.4, 0.45]), np.array([0, 0, 1, 1])) == pytest.approx(0.35)
