@@ -85,7 +85,7 @@ _TESTS = re.compile(r"(?i)(?:^|/)(?:tests?|specs?|fixtures?|examples?|docs?|samp
 _CONFIG = re.compile(r"(?i)\.(?:json|ya?ml|ini|properties|env|toml|conf|cfg)\s*$")
 
 #: Characters from which on a value is as long as it may tell: keys and tokens are shorter, and so much longer ones mostly data.
-LONG = 200
+LONG, LONGEST = 200, 1024
 KINDS = ("pem", "url", "connection", "scheme", "issued", "quoted", "bare", "netrc")
 #: Kinds that the regression tells apart.  Those whose values patterns know, it does not, so that it learns from them what credentials look like and are called.
 PLACES = ("pem", "scheme")
@@ -212,6 +212,11 @@ def _asset(c: Candidate) -> bool:
     return len(c.value) > 64 and c.kind not in ("pem", "issued") and bool(_ASSET.search(c.name))
 
 
+def _blob(c: Candidate) -> bool:
+    """Longer than the longest keys are written: encoded data."""
+    return len(c.value) > LONGEST and c.kind not in ("pem", "issued")
+
+
 def features(c: Candidate, path: str, markov: Markov) -> list[float]:
     v, n = c.value, len(c.value)
     upper, lower, digit = sum(map(str.isupper, v)), sum(map(str.islower, v)), sum(map(str.isdigit, v))
@@ -224,7 +229,7 @@ def features(c: Candidate, path: str, markov: Markov) -> list[float]:
     rare = min(0.0, markov.mean(v) + 3.0)
     mixed = not hollow and not words and digit + (n - upper - lower - digit) > 0
     return [
-        1.0, rare, math.log(min(n, LONG)), float(n > LONG and c.kind != "pem"), float(not v.isascii()), digit / n, upper / n, (n - upper - lower - digit) / n, float(classes),
+        1.0, rare, math.log(min(n, LONG)), float(n > LONG and c.kind != "pem"), float(_blob(c)), float(not v.isascii()), digit / n, upper / n, (n - upper - lower - digit) / n, float(classes),
         float(hollow), float(words), float(hexed), float(bool(_UUID.match(v))), float(bool(_DIGEST.match(v)) and c.kind != "pem"),
         float(strong), float(weak and not strong), float(unlike), float(strong and mixed), float(weak and mixed and not strong and not unlike), float(weak and hexed and not unlike), float((strong or weak) and hollow), float((strong or weak) and words),
         float(bool(_TESTS.search(path))), float(bool(_CONFIG.search(path))), float(_asset(c)),
@@ -237,7 +242,7 @@ def weak_label(c: Candidate) -> int | None:
     v = c.value
     if c.kind == "pem":
         return 1
-    if placeholder(v) or c.kind != "issued" and _REFERENCE.search(v) or _PATH.match(v) or _UUID.match(v) or _DIGEST.match(v) or _asset(c):
+    if placeholder(v) or c.kind != "issued" and _REFERENCE.search(v) or _PATH.match(v) or _UUID.match(v) or _DIGEST.match(v) or _asset(c) or _blob(c):
         return 0
     if c.kind in ("url", "connection", "issued"):
         return 1
