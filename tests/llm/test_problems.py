@@ -385,6 +385,7 @@ def test_long_lists(language, head, element, tail):
         ("C", "int f(void) { return " + "x ? 1 : " * 500 + "0; }", "? 1", "? = 1"),
         ("Go", "package a\nvar x = []T{" + ", ".join(["f(1)"] * 10000) + "}\n", "f(1)", "= = f(1)"),
         ("Ruby", "x = [" + ", ".join(["f(1)"] * 10000) + "]\n", "f", "* / f"),
+        ("Ruby", "x = y" + ".then { |q| q + 1 }" * 400 + "\n", "q +", "q + * /"),
         ("Python", "x = " + " if a else ".join(["f(1)"] * 500) + "\n", "f(1)", "= f(1)"),
         ("SQL", "insert into t values " + ", ".join(["(1, f(2))"] * 3000) + ";", "f", "(, f"),
         ("NewLisp", "(a " + "'(b 1) " * 10000 + ")", "'(b 1)", "(b ')"),
