@@ -418,6 +418,31 @@ def test_least_edits_against_brute_force():
         assert g.cost(s) == least(s), s
 
 
+@pytest.mark.parametrize(
+    ("language", "head", "element", "joint", "broken", "tail", "cost"),
+    [
+        ("JavaScript", "x = ", "f(1)[2]", " + ", "* / f(1) f(1)", ";", 2),
+        ("Go", "package a\nvar x = []T{", "f(1)", ", ", "= = f(1)", "}\n", 2),
+        ("Java", "class A { int x = ", "f(1)", " + ", "= ? f(1)", "; }", 2),
+        ("C", "int x = ", "f(1)", " + ", "= ? f(1)", ";", 2),
+        ("Ruby", "x = [", "f(1)", ", ", "* / f(1) f(1)", "]\n", 2),
+    ],
+)
+def test_edits_do_not_depend_on_length(language, head, element, joint, broken, tail, cost):
+    for n in (3, 60, 400):
+        text = joint.join([element] * n)
+        assert syntax.edits(language, head + joint.join([text, broken, text]) + tail)[0] == cost, n
+
+
+def test_nodes_made_anew_change_nothing(monkeypatch):
+    text, rng = "e = t ('+' t)*\nt = i | '(' e (',' e)* ')'", random.Random(4)
+    strings = ["".join(rng.choice("i+(),i+") for _ in range(rng.randint(1, 12))) + "+(i,i)" * rng.randint(0, 9) for _ in range(200)]
+    shared = chart.Grammar(text, ("e",), {})
+    costs = [shared.cost(s) for s in strings]
+    monkeypatch.setattr(chart, "MOST_NODES", 0)
+    assert costs == [chart.Grammar(text, ("e",), {}).cost(s) for s in strings] and {1, 2, 3} <= {*costs}
+
+
 def test_parsed(spark):
     ext = spark.createDataFrame([(0, "Python", [".py"]), (1, "Markdown", [".md"]), (2, "JSON", [".json"]), (3, "X", None)], "ordinal int, name string, extensions array<string>")
     rows = [(1, "a/x.py", "x = (1", "o/r", ".py"), (2, "a/y.py", "x = 1", "o/r", " PY"), (3, "a/z.json", "{", "o/r", None), (4, "a/m.md", "((", "o/r", ".md"), (5, "a/n.py", None, "o/r", ".py"), (6, "a/n.py", " \n", "o/r", ".py"), (7, None, "x", "o/r", None)]
