@@ -163,6 +163,38 @@ def test_hidden_files_are_walked(spark, tmp_path):
     assert listed.count() == 5 and listed.columns == ["path", "length"]
 
 
+def test_walks_are_few_tasks(spark, languages, tmp_path):
+    for k in range(40):
+        (tmp_path / f"_r{k}" / ".d").mkdir(parents=True)
+        (tmp_path / f"_r{k}" / ".d" / "a.py").write_bytes(f"é {k} ".encode("utf-16") + ("x = 1\n" * 12).encode("utf-16-le"))
+        (tmp_path / f"_r{k}" / "b.txt").write_text("no " * 20)
+    from siftwright import schemas
+
+    repo = spark.createDataFrame([(k, f".r{k}", "http://x", 5, 2, 5, 0, "Python", None, None, ("mit", "MIT", "MIT", None, None), "d") for k in range(39)], schemas.REPO)
+    listed = tables.walk_tree(spark, str(tmp_path))
+    # the root and as many lots of folders as a shuffle has partitions
+    assert listed.count() == 80 and listed.rdd.getNumPartitions() == 5
+    got = extract.extract(listed, repo, languages, str(tmp_path), "Python").collect()
+    assert {(r.file_path, r.repo_name, r.content) for r in got} == {(f"_r{k}/.d/a.py", f".r{k}", f"é {k} " + "x = 1\n" * 12) for k in range(39)}
+    extract.remove_tree(spark, str(tmp_path))
+    assert not tmp_path.exists()
+
+
+def test_trees_in_lots(spark, monkeypatch):
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables")
+    from siftwright.plans import stored
+
+    whole = stored.extract_tree(spark, DATA)
+    monkeypatch.setattr(stored, "LOT_FILES", 100)
+    monkeypatch.setattr(stored, "MOST_LOTS", 2)
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    lots = stored.extract_tree(spark, DATA)
+    assert sorted(map(str, lots.collect())) == sorted(map(str, whole.collect()))
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in session._WRITTEN if os.path.exists(p.removeprefix("file:"))]
+    assert len(session._WRITTEN) == 3 and left == ["extracted"]
+
+
 def test_corpus_by_language(spark, tmp_path):
     tables.write_corpus(spark.createDataFrame([(1, "Go"), (2, "C")], "id int, language string"), str(tmp_path / "c"))
     assert tables.languages_in(spark, str(tmp_path / "c")) == ["C", "Go"]
